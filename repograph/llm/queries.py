@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograph.llm import bpe, chat, decontam, langid, linededup, search, toxicity
+from repograph.llm import bpe, chat, decontam, langid, linededup, neardup, search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -22,6 +22,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     labels = _table(spark, sf_dir, "labels", "doc_id", "toxic").where(fold("doc_id", 5) != 0)
@@ -69,6 +73,17 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r AS (SELECT doc_id d, doc_id e FROM n UNION SELECT r.d, l.y FROM r JOIN l ON l.x = r.e)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, coalesce(m, w.doc_id) component_id, coalesce(m, w.doc_id) = w.doc_id kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT d doc_id, min(e) m FROM r GROUP BY d) USING (doc_id)
+"""
+
 OP4_SQL = r"""
 WITH RECURSIVE l AS (SELECT doc_id, unnest(ls) s, generate_subscripts(ls, 1) - 1 k FROM (SELECT doc_id, string_split(text, chr(10)) ls FROM documents)),
 s AS (SELECT doc_id, k, s, trim(s, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) t FROM l),
@@ -114,6 +129,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
@@ -122,4 +138,4 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op9_decontamination": op9_decontamination,
 }
-SQL = {"op4_line_dedup": OP4_SQL, "op5_topk_search": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
+SQL = {"op1_minhash_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_topk_search": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
