@@ -89,11 +89,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
+def prefix_sums(raw: np.ndarray, symbols: np.ndarray = _symbols) -> np.ndarray:
     """Sums for :func:`range_hash`; one more than bytes."""
     up, _ = _grown(len(raw) + 1)
     out = np.zeros(len(raw) + 1, U)
-    np.cumsum(_symbols[raw] * up[: len(raw)], out=out[1:])
+    np.cumsum(symbols[raw] * up[: len(raw)], out=out[1:])
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograph.llm import bpe, chat, decontam, langid, linededup, neardup, search, toxicity
+from repograph.llm import bpe, chat, decontam, langid, linededup, neardup, search, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) i FROM w WHERE len(ws) > 0)),
@@ -137,5 +142,6 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
     "op9_decontamination": op9_decontamination,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL = {"op1_minhash_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_topk_search": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
