@@ -16,7 +16,6 @@ the passes are merged by row, so no pattern is ever dropped.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -179,5 +178,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, max_windows: int = 500
     return out.drop("copy") if keep_text else out.drop("copy", "text")
 
 
-def sha256_list(values: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(values)).encode()).hexdigest()
+def clean_rows(docs: DataFrame, items: DataFrame, max_windows: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and more) that no window of an item occurs in."""
+    own = docs.withColumn("__row", F.struct(*docs.columns))
+    found = find_contamination(own.select(F.col("__row").alias("doc_id"), "text"), items, max_windows)
+    return found.where("n_hit = 0").select("doc_id.*")

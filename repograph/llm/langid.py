@@ -141,8 +141,11 @@ def word_scores(m: Model, w: K.Words) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Of (doc_id, text): doc_id, lang_pred, score."""
+def identify(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
+    """Of (doc_id, text): doc_id, lang_pred, score; with ``keep`` all columns, lang_pred and score."""
+    if keep:
+        whole = F.struct(*docs.columns).alias("doc_id")
+        return identify(docs.select(whole, "text"), model).select("doc_id.*", "lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,4 +166,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             none = (n == 0) | (not m.langs)
             yield pa.RecordBatch.from_arrays([t.keys.column(0), pa.array(names[np.where(none, len(m.langs), best)].tolist(), pa.string()), pa.array(np.where(none, 0.0, p))], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

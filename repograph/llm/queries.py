@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograph.llm import bpe, chat, decontam, langid, linededup, neardup, search, suffix, toxicity
+from repograph.llm import bpe, chat, decontam, langid, linededup, neardup, pii, search, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -47,6 +47,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    rank = F.array(*(F.lit(k) for k in pii.KINDS))
+    every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(rank, s["kind"]).alias("k"), s["first"].alias("first"), s["last"].alias("last"), s["kind"].alias("kind"))))
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"], s["last"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(every).alias("spans"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select(
@@ -141,6 +155,7 @@ QUERIES = {
     "op5_topk_search": op5_topk_search,
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
+    "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
