@@ -43,7 +43,7 @@ from repograph.llm.kernel import U
 
 LENGTH = 200
 PERIOD = 133
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
 NAMES, TEXTS, STRINGS = 0, 1, 2
 
 
