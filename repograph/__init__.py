@@ -1,0 +1 @@
+"""repograph: code-graph and hybrid-search analytics on Spark."""
