@@ -105,7 +105,7 @@ def fit(labelled: DataFrame, max_rows: int = 3000, max_words: int = 30_000, max_
             for r in by:
                 n[i, langs.index(r["lang"])] += r["n"]
         score = np.log((n + 0.5) / (n.sum(0) + 0.5 * len(own) + 1))
-        tables[size] = np.array([k for k, _ in own], U), (score - score.mean(1, keepdims=True)).astype(np.float32)
+        tables[size] = np.array([k for k, _ in own], U), (score - (score.mean(1, keepdims=True) if langs else 0)).astype(np.float32)
     return Model(langs, *tables.pop(0), tables)
 
 

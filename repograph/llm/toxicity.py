@@ -249,7 +249,10 @@ def fit(labelled: DataFrame, max_rows: int = 4000, max_terms: int = 60) -> Model
             yield pa.RecordBatch.from_arrays([t.keys.column(0), *(pa.array(x[:, k]) for k in range(3))], names=["toxic", "a", "b", "c"])
 
     got = rows.mapInArrow(run, "toxic int, a double, b double, c double").groupBy("toxic", "a", "b", "c").count().toPandas()
-    m.weights, m.bias = logistic(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(), got["count"].to_numpy(), PRIOR)
+    seen = got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(), got["count"].to_numpy()
+    # Misspelled and quoted hits are rare: without evidence of their own they are worth their share of an exact one.
+    exact = logistic(*seen, PRIOR)[0][0]
+    m.weights, m.bias = logistic(*seen, exact * PRIOR / PRIOR[0])
     return m
 
 
