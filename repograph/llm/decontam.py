@@ -156,7 +156,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, max_windows: int = 500
                     columns.append(pa.array(spots, pa.list_(pa.int64())))
                     names_out.append("spots")
                 if keep_text or not last:
-                    columns.append(pa.array([None if z else t.text(i).decode() for i, z in enumerate(t.null)], pa.string()))
+                    columns.append(t.column)
                     names_out.append("text")
                 yield pa.RecordBatch.from_arrays(columns, names=names_out)
 
@@ -180,6 +180,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, max_windows: int = 500
 
 def clean_rows(docs: DataFrame, items: DataFrame, max_windows: int = 500_000) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and more) that no window of an item occurs in."""
-    own = docs.withColumn("__row", F.struct(*docs.columns))
-    found = find_contamination(own.select(F.col("__row").alias("doc_id"), "text"), items, max_windows)
-    return found.where("n_hit = 0").select("doc_id.*")
+    others = F.struct(*(c for c in docs.columns if c != "text"))
+    found = find_contamination(docs.select(others.alias("doc_id"), "text"), items, max_windows, keep_text=True)
+    return found.where("n_hit = 0").select("doc_id.*", "text").select(*docs.columns)

@@ -32,6 +32,7 @@ class Texts:
     raw: np.ndarray
     bounds: np.ndarray
     null: np.ndarray
+    column: pa.Array
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
@@ -65,7 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         while first < n:
             last = max(first + 1, int(np.searchsorted(total, total[first] + limit, "right")) - 1)
             raw, bounds = _bytes_of(whole.slice(first, last - first))
-            yield Texts(other.slice(first, last - first) if other is not None else None, raw, bounds, null[first:last])
+            yield Texts(other.slice(first, last - first) if other is not None else None, raw, bounds, null[first:last], column.slice(first, last - first))
             first = last
 
 

@@ -144,8 +144,13 @@ def word_scores(m: Model, w: K.Words) -> np.ndarray:
 def identify(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     """Of (doc_id, text): doc_id, lang_pred, score; with ``keep`` all columns, lang_pred and score."""
     if keep:
-        whole = F.struct(*docs.columns).alias("doc_id")
-        return identify(docs.select(whole, "text"), model).select("doc_id.*", "lang_pred", "score")
+        others = F.struct(*(c for c in docs.columns if c != "text"))
+        found = _identified(docs.select(others.alias("doc_id"), "text"), model, True)
+        return found.select("doc_id.*", "text", "lang_pred", "score")
+    return _identified(docs.select("doc_id", "text"), model, False)
+
+
+def _identified(docs: DataFrame, model: Model, keep: bool) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +169,8 @@ def identify(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
             else:
                 best, p = np.zeros(len(t), int), np.zeros(len(t))
             none = (n == 0) | (not m.langs)
-            yield pa.RecordBatch.from_arrays([t.keys.column(0), pa.array(names[np.where(none, len(m.langs), best)].tolist(), pa.string()), pa.array(np.where(none, 0.0, p))], names=["doc_id", "lang_pred", "score"])
+            told = pa.array(names[np.where(none, len(m.langs), best)].tolist(), pa.string())
+            yield pa.RecordBatch.from_arrays([t.keys.column(0), *([t.column] if keep else []), told, pa.array(np.where(none, 0.0, p))], names=["doc_id", *(["text"] if keep else []), "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind},{' text string,' if keep else ''} lang_pred string, score double")
