@@ -4,7 +4,7 @@ A document's set is its distinct shingles of five words. Two small collections
 of ``HALVES`` half keys, each of ``ROWS`` minhashes, are computed; every pair of a left and a
 right half key is the key of one table. So 2 * HALVES * ROWS minhashes serve
 HALVES^2 tables of 2 * ROWS minhashes: about the square root of what they'd take one by one. Two documents
-at the threshold of 0.75 are missed if no left or no right half key agrees, with a probability below 3e-5; likelier ones far less.
+at the threshold of 0.75 are missed if no left or no right half key agrees, with a probability below 1e-4; more similar ones far less.
 
 1. Documents with equal sets become a class; only its smallest id goes on.
 2. Left half keys that occur once are dropped; the other documents spread to full keys.
