@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _STEP = 0x9E3779B97F4A7C15 | 1
 _STEP_INV = pow(_STEP, -1, 1 << 64)
