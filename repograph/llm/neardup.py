@@ -9,11 +9,14 @@ at the threshold of 0.75 are missed if no left or no right half key agrees, with
 1. Documents with equal sets become a class; only its smallest id goes on.
 2. Left half keys that occur once are dropped; the other documents spread to full keys.
 3. In each bucket every document is compared with the smallest id: no bucket makes more pairs than it has rows.
-4. Buckets that still hold several components compare documents of different
-   components, if the bucket is small; documents of larger ones go through a
-   prefix filter over their shingles, rarest first, which finds every pair
-   above the threshold without emitting a bucket's pairs.
-5. Each pair is verified on the full sets of both; components come from alternating large and small stars.
+4. Of buckets that still hold several components the large ones are replaced by
+   a prefix filter over shingles, rarest first. Buckets with the same
+   smallest id form a group. Documents of a group that share enough minhashes come into one
+   cluster: small groups pair by pair, others in blocks of ``BLOCK_ROWS``
+   signatures, which give a spanning forest instead of pairs.
+5. Pairs of a cluster that lie in different components are verified on the full sets: those of
+   large clusters in blocks of ``BLOCK_BYTES`` of packed texts, by one
+   incidence matrix for each two blocks. Components come from alternating large and small stars.
 
 Defined results: null, empty and wordless texts have n_shingles 0, are linked
 with nothing and kept; of one to four words the whole sequence is the set;
@@ -38,6 +41,8 @@ WORDS, PERCENT = 5, 75
 HALVES, ROWS = 12, 2
 #: Buckets of up to so many documents are compared pair by pair.
 SMALL = 24
+#: Larger groups are compared in blocks: of so many signatures, of so many packed bytes (or 256 texts).
+BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 18
 #: Of 48 minhashes a pair at the threshold shares fewer with a probability of 1e-7.
 SHARED = 20
 
@@ -177,6 +182,103 @@ def _pairs_within(members: DataFrame) -> DataFrame:
     return x.join(y, "key").where("a > b and ca <> cb").select("a", "b").distinct()
 
 
+def _forest(ids: pa.ChunkedArray, i: np.ndarray, j: np.ndarray) -> pa.Table:
+    """Edges (a, b) that connect what the edges (i, j) between rows connect, fewer than rows."""
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(label)))
+    return pa.table({"a": ids.take(pa.array(own)), "b": ids.take(pa.array(label[own]))})
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of either block; one block meets itself."""
+    z, x, y = t["z"].to_numpy(), t["x"][0].as_py(), t["y"][0].as_py()
+    return np.flatnonzero(z == x), np.flatnonzero(z == y)
+
+
+def _apart(t: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs differ in their component."""
+    comp = np.unique(np.array(t["comp"].to_pylist()), return_inverse=True)[1]
+    return comp[left][:, None] != comp[right]
+
+
+def _met(t: pa.Table) -> pa.Table:
+    """Of two blocks of (id, comp, n, sig): which share enough minhashes, as a forest."""
+    left, right = _sides(t)
+    sig, n = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(t), -1), t["n"].to_numpy()
+    same = np.zeros((len(left), len(right)), np.uint8)
+    for c in range(sig.shape[1]):
+        same += sig[left, c][:, None] == sig[right, c]
+    x, y = n[left][:, None], n[right]
+    i, j = np.nonzero((same >= SHARED) & (np.minimum(x, y) * 100 >= np.maximum(x, y) * PERCENT) & _apart(t, left, right))
+    return _forest(t["id"], left[i], right[j])
+
+
+def _linked(t: pa.Table) -> pa.Table:
+    """Of two blocks of (id, comp, packed): whose full sets are similar enough, as a forest."""
+    left, right = _sides(t)
+    z = zstandard.ZstdDecompressor()
+    sets: list[np.ndarray] = []
+    text = pa.array([z.decompress(x) for x in t["packed"].to_pylist()], pa.binary())
+    for part in K.slices(iter([pa.RecordBatch.from_arrays([text, pa.nulls(len(text))], names=["text", "none"])]), "text"):
+        sets += shingle_sets(part)
+    n = np.array([len(s) for s in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    # A shingle of one text is in no intersection.
+    shared = often > 1
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    inter = np.zeros((len(left), len(right)), np.int64)
+    for first in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(column, [first, first + 2048])
+        has = np.zeros((len(sets), 2048), np.float32)
+        has[row[a:b], column[a:b] - first] = 1
+        inter += (has[left] @ has[right].T).astype(np.int64)
+    i, j = np.nonzero((inter * 100 >= PERCENT * (n[left][:, None] + n[right] - inter)) & (inter > 0) & _apart(t, left, right))
+    return _forest(t["id"], left[i], right[j])
+
+
+def _in_blocks(rows: DataFrame, kernel, *columns: str) -> DataFrame:
+    """The kernel's (a, b) for each two of the ``blocks`` blocks of each ``key``; a block's rows are dealt by a hash of their id."""
+    kind = dict(rows.dtypes)["id"]
+    dealt = rows.withColumn("z", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    both = dealt.select("key", F.least("z", "w").alias("x"), F.greatest("z", "w").alias("y"), "z", "id", "comp", *columns)
+    return both.groupBy("key", "x", "y").applyInArrow(kernel, f"a {kind}, b {kind}").distinct()
+
+
+def within_groups(members: DataFrame, sized: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components of (key, id, comp), for ids that share a key: at least a forest of them.
+
+    ``sized``: (doc_id, n, sig). ``texts``: (id, packed).
+    """
+    lead = K.stored(members.groupBy("key").agg(F.min("id").alias("lead")))
+    groups = K.stored(members.join(lead, "key").select(F.col("lead").alias("key"), "id", "comp").distinct())
+    count = K.stored(groups.groupBy("key").agg(F.count("*").alias("c")))
+    small = groups.join(count.where(f"c <= {SMALL}"), "key", "left_semi")
+    edges = _alike(_pairs_within(small), sized)
+    blocks = count.where(f"c > {SMALL}").select("key", F.ceil(F.col("c") / BLOCK_ROWS).alias("blocks"))
+    signed = groups.join(blocks, "key").join(sized.withColumnRenamed("doc_id", "id"), "id")
+    edges = K.stored(edges.unionAll(_in_blocks(signed, _met, "n", "sig")).where("a <> b").distinct())
+    # Each document lies in one cluster, so each pair is verified once.
+    clusters = connected(edges).select("id", F.col("comp").alias("key"))
+    clusters = K.stored(clusters.unionAll(clusters.select(F.col("key").alias("id"), "key")).distinct().join(groups.select("id", "comp").distinct(), "id"))
+    size = K.stored(texts.select("id", F.length("packed").alias("bytes")).join(clusters, "id").groupBy("key").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes")))
+    small = clusters.join(size.where(f"c <= {SMALL}"), "key", "left_semi")
+    found = verified(_alike(_pairs_within(small), sized), texts)
+    blocks = size.where(f"c > {SMALL}").select("key", F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("c") / 256)).alias("blocks"))
+    return K.stored(found.unionAll(_in_blocks(clusters.join(blocks, "key").join(texts, "id"), _linked, "packed")).where("a <> b"))
+
+
 def prefixes(texts: DataFrame) -> DataFrame:
     """(key, id): of each text the rarest shingles that any text with the similarity must share one of."""
     kind = dict(texts.dtypes)["id"]
@@ -229,17 +331,15 @@ def components(docs: DataFrame) -> DataFrame:
     labelled = K.stored(labelled)
     mixed = K.stored(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("c").alias("size")).where("lo <> hi").select("key", "size"))
     open_ = K.stored(labelled.drop("c").join(mixed, "key"))
-    small = _pairs_within(open_.where(f"size <= {SMALL}").select("key", "id", "comp"))
-    more = small
+    members = open_.where(f"size <= {SMALL}").select("key", "id", "comp")
     large = open_.where(f"size > {SMALL}").select("id", "comp").distinct()
     if not large.isEmpty():
         large = K.stored(large)
         rare = K.stored(prefixes(texts.join(large.select("id"), "id", "left_semi")))
         kept = K.stored(rare.join(large, "id"))
         several = K.stored(kept.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
-        more = small.unionAll(_pairs_within(kept.join(several, "key", "left_semi").select("key", "id", "comp"))).distinct()
-    more = K.stored(_alike(more.join(pairs, ["a", "b"], "left_anti"), sized))
-    found = K.stored(verified(more, texts))
+        members = members.unionAll(kept.join(several, "key", "left_semi").select("key", "id", "comp"))
+    found = within_groups(members, sized, texts)
     if not found.isEmpty():
         comps = connected(links.unionAll(found))
     named = classes.select("n", "f1", "f2", F.col("doc_id").alias("rep"))

@@ -83,6 +83,30 @@ def test_large_bucket_takes_the_prefix_filter(spark, monkeypatch):
     assert all(comp[a] == comp[b] for a, b in pairs)
 
 
+def test_dense_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 8192)
+    r = random.Random(9)
+    rows = []
+    for group in range(3):
+        base = [f"w{group}x{i}" for i in range(120)]
+        for k in range(60):
+            t = list(base)
+            for _ in range(r.randint(1, 6)):
+                t[r.randrange(len(t))] = f"e{r.random()}"
+            rows.append((len(rows), " ".join(t), "en", "s", 1))
+    s = sets_of(rows)
+    comp = {k: k for k in s}
+    linked = [(a, b) for a in s for b in s if a != b and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b])]
+    for _ in range(20):
+        for a, b in linked:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    got = {x.doc_id: x.component_id for x in neardup.components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(set(comp.values())) > 6
+    assert got == comp
+
+
 def test_suffix_removal(spark, docs, empty):
     rows = corpus() + [(1000, "ab" * 300, "x", "s", 1), (1001, "q" * 200, "x", "s", 1), (1002, "q" * 199, "x", "s", 1)]
     seen = Counter()
