@@ -144,20 +144,18 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
 def connected(edges: DataFrame) -> DataFrame:
     """(id, comp) of every node of (a, b): comp is the smallest id that it reaches. Large and small stars by turns."""
     edges = K.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     while True:
-        sides = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = K.stored(sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        sides = edges.select("a", "b", F.lit(1).alias("up")).unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("up")))
+        least = K.stored(sides.groupBy("a").agg(F.min("b").alias("m"), F.sum("up").alias("ups"), F.count("*").alias("c")).select("a", F.least("a", "m").alias("m"), "ups", "c"))
+        # Stars already: each node has one smaller neighbour and no larger ones, or larger ones only.
+        if least.where("ups > 1 or ups = 1 and c > 1").isEmpty():
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
         # Large star: a node's larger neighbours go to its least one.
-        large = K.stored(edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        large = K.stored(edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least.select("a", "m"), "a").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
         # Small star: a node and its smaller neighbours go to the least of these.
         least = K.stored(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = K.stored(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-        before = now
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
