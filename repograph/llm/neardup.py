@@ -8,7 +8,7 @@ at the threshold of 0.75 are missed if no left or no right half key agrees, with
 
 1. Documents with equal sets become a class; only its smallest id goes on.
 2. Left half keys that occur once are dropped; the other documents spread to full keys.
-3. In each bucket every document is compared with the smallest id: no bucket makes more pairs than it has rows.
+3. In each bucket every document's signature is compared with the smallest id's: no bucket makes more pairs than it has rows. The likeliest pair of each document is verified.
 4. Of buckets that still hold several components the large ones are replaced by
    a prefix filter over shingles, rarest first. Buckets with the same
    smallest id form a group. Documents of a group that share enough minhashes come into one
@@ -142,8 +142,8 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(id, comp) of every node of (a, b): comp is the smallest id that it reaches. Large and small stars by turns."""
-    edges = K.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    """(id, comp) of every node of the stored (a, b): comp is the smallest id that it reaches. Large and small stars by turns."""
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         sides = edges.select("a", "b", F.lit(1).alias("up")).unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("up")))
         least = K.stored(sides.groupBy("a").agg(F.min("b").alias("m"), F.sum("up").alias("ups"), F.count("*").alias("c")).select("a", F.least("a", "m").alias("m"), "ups", "c"))
@@ -158,8 +158,19 @@ def connected(edges: DataFrame) -> DataFrame:
         edges = K.stored(small.where("a <> b").distinct())
 
 
+def rooted(edges: DataFrame) -> DataFrame:
+    """(id, comp) of every a of the stored (a, b), where each a has one b, a smaller one: the way's end. Each round doubles the steps."""
+    edges = edges.select("a", "b")
+    while True:
+        up = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        edges = K.stored(edges.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")))
+        if edges.where("moved").isEmpty():
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+        edges = edges.select("a", "b")
+
+
 def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs that share enough minhashes and could have the similarity by their sizes."""
+    """(a, b, same): the pairs that share enough minhashes and could have the similarity by their sizes; how many they share."""
     own = sigs.select("doc_id", "n", "sig")
     both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
     both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
@@ -169,9 +180,10 @@ def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= SHARED))
+                same = (x == y).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.int32())], names=["a", "b", "same"]).filter(pa.array(same >= SHARED))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}, same int")
 
 
 def _pairs_within(members: DataFrame) -> DataFrame:
@@ -209,7 +221,8 @@ def _apart(t: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _met(t: pa.Table) -> pa.Table:
-    """Of two blocks of (id, comp, n, sig): which share enough minhashes, as a forest."""
+    """Of two blocks of (id, comp, n, sig): which share enough minhashes, as a forest whose roots are smallest ids."""
+    t = t.sort_by("id")
     left, right = _sides(t)
     sig, n = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(t), -1), t["n"].to_numpy()
     same = np.zeros((len(left), len(right)), np.uint8)
@@ -221,7 +234,8 @@ def _met(t: pa.Table) -> pa.Table:
 
 
 def _linked(t: pa.Table) -> pa.Table:
-    """Of two blocks of (id, comp, packed): whose full sets are similar enough, as a forest."""
+    """Of two blocks of (id, comp, packed): whose full sets are similar enough, as a forest whose roots are smallest ids."""
+    t = t.sort_by("id")
     left, right = _sides(t)
     z = zstandard.ZstdDecompressor()
     sets: list[np.ndarray] = []
@@ -263,7 +277,7 @@ def within_groups(members: DataFrame, sized: DataFrame, texts: DataFrame) -> Dat
     groups = K.stored(members.join(lead, "key").select(F.col("lead").alias("key"), "id", "comp").distinct())
     count = K.stored(groups.groupBy("key").agg(F.count("*").alias("c")))
     small = groups.join(count.where(f"c <= {SMALL}"), "key", "left_semi")
-    edges = _alike(_pairs_within(small), sized)
+    edges = _alike(_pairs_within(small), sized).select("a", "b")
     blocks = count.where(f"c > {SMALL}").select("key", F.ceil(F.col("c") / BLOCK_ROWS).alias("blocks"))
     signed = groups.join(blocks, "key").join(sized.withColumnRenamed("doc_id", "id"), "id")
     edges = K.stored(edges.unionAll(_in_blocks(signed, _met, "n", "sig")).where("a <> b").distinct())
@@ -272,7 +286,7 @@ def within_groups(members: DataFrame, sized: DataFrame, texts: DataFrame) -> Dat
     clusters = K.stored(clusters.unionAll(clusters.select(F.col("key").alias("id"), "key")).distinct().join(groups.select("id", "comp").distinct(), "id"))
     size = K.stored(texts.select("id", F.length("packed").alias("bytes")).join(clusters, "id").groupBy("key").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes")))
     small = clusters.join(size.where(f"c <= {SMALL}"), "key", "left_semi")
-    found = verified(_alike(_pairs_within(small), sized), texts)
+    found = verified(_alike(_pairs_within(small), sized).select("a", "b"), texts)
     blocks = size.where(f"c > {SMALL}").select("key", F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("c") / 256)).alias("blocks"))
     return K.stored(found.unionAll(_in_blocks(clusters.join(blocks, "key").join(texts, "id"), _linked, "packed")).where("a <> b"))
 
@@ -319,11 +333,12 @@ def components(docs: DataFrame) -> DataFrame:
     shared = K.stored(table.join(first, "key").select("key", "id", "b", "c"))
     stars = shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     sized = classes.select("doc_id", "n", "sig")
-    pairs = K.stored(_alike(stars, sized))
+    # The likeliest link of each document first; what it leaves apart is compared within the buckets below.
+    pairs = K.stored(_alike(stars, sized).groupBy("a").agg(F.min(F.struct(-F.col("same"), "b")).alias("e")).select("a", "e.b"))
     wanted = shared.select(F.col("id").alias("doc_id")).distinct()
     texts = K.stored(packed(docs.where("text is not null").join(wanted, "doc_id", "left_semi")))
     links = K.stored(verified(pairs, texts))
-    comps = connected(links)
+    comps = rooted(links)
     # Buckets with several components are left.
     labelled = shared.select("key", "id", "c").join(comps, "id", "left").select("key", "id", "c", F.coalesce("comp", "id").alias("comp"))
     labelled = K.stored(labelled)
@@ -339,7 +354,12 @@ def components(docs: DataFrame) -> DataFrame:
         members = members.unionAll(kept.join(several, "key", "left_semi").select("key", "id", "comp"))
     found = within_groups(members, sized, texts)
     if not found.isEmpty():
-        comps = connected(links.unionAll(found))
+        # Links join whole components, so only these are connected anew.
+        x, y = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+        found = found.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = connected(K.stored(found.distinct())).withColumnRenamed("comp", "into")
+        whole = comps.unionAll(comps.select(F.col("comp").alias("id"), "comp")).unionAll(joined.select(F.explode(F.array("id", "into")).alias("id")).withColumn("comp", F.col("id"))).distinct()
+        comps = whole.join(joined.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("into", "comp").alias("comp")).groupBy("id").agg(F.min("comp").alias("comp"))
     named = classes.select("n", "f1", "f2", F.col("doc_id").alias("rep"))
     named = K.stored(named.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("comp", "rep").alias("comp")))
     out = sigs.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
