@@ -7,7 +7,11 @@ small whatever the batch size is. A single row is never cut.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,10 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 U = np.uint64
 SLICE_BYTES = 1 << 19
 
-_STEP = 0x9E3779B97F4A7C15 | 1
-_STEP_INV = pow(_STEP, -1, 1 << 64)
-
-
 @dataclass
 class Texts:
     """Whole rows: ``keys`` (all columns but the text), the texts' bytes and their bounds."""
@@ -70,17 +70,81 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             first = last
 
 
-_powers = np.ones(1, U), np.ones(1, U)
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        _powers = tuple(np.cumprod(np.concatenate([np.ones(1, U), np.full(n, x, U)]), dtype=U) for x in (_STEP, _STEP_INV))
-    return _powers
-
-
-_symbols = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Hashes are polynomials modulo this prime: two different strings of n symbols collide for at most n of 2^61 bases.
+PRIME = (1 << 61) - 1
+_ROW, _LONG = 1 << 10, 1 << 15
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    high = x >> U(61)
+    high += x & U(PRIME)
+    return np.minimum(high, high - U(PRIME))  # the difference wraps around where it would be negative
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, by halves of 31 bits."""
+    m31, m30 = U((1 << 31) - 1), U((1 << 30) - 1)
+    ah, al, bh, bl = a >> U(31), a & m31, b >> U(31), b & m31
+    middle = ah * bl
+    middle += al * bh
+    ah = ah * bh
+    ah <<= U(1)
+    ah += middle >> U(30)
+    middle &= m30
+    middle <<= U(31)
+    ah += middle
+    al = al * bl
+    ah += al
+    return _folded(ah)
+
+
+class Polynomial:
+    """Hashes of ranges of one string of symbols below 2^21, by their values at a base drawn at random."""
+
+    def __init__(self, seed: int):
+        self.base = int(np.random.default_rng(seed).integers(1 << 32, PRIME - 1))
+        self.up = self._powers(self.base, _LONG)
+        down = self._powers(pow(self.base, -1, PRIME), _ROW)
+        self.down_high, self.down_low = down >> U(31), down & U((1 << 31) - 1)
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.ones(1, U)
+        while len(out) < n:
+            out = np.concatenate([out, _times(out, U(pow(base, len(out), PRIME)))])
+        return out[:n]
+
+    def values(self, symbols: np.ndarray) -> np.ndarray:
+        """The value of each prefix; one more than symbols."""
+        out, start = np.zeros(len(symbols) + 1, U), 0
+        for first in range(0, len(symbols), _LONG):
+            part = symbols[first : first + _LONG]
+            rows = -(-len(part) // _ROW)
+            c = np.zeros(rows * _ROW, U)
+            c[: len(part)] = part.astype(U) + U(1)
+            c = c.reshape(rows, _ROW)
+            low, high = np.cumsum(c * self.down_low, 1, dtype=U), np.cumsum(c * self.down_high, 1, dtype=U)
+            # Within a row, symbol j times base^-j; what stands before the row comes as one more term.
+            sums = _folded(low + (high >> U(30)) + ((high & U((1 << 30) - 1)) << U(31)))
+            before, ends, last = np.zeros(rows, U), sums[:, -1].tolist(), pow(self.base, _ROW - 1, PRIME)
+            for k in range(rows):
+                before[k] = start * self.base % PRIME
+                start = (int(before[k]) + ends[k]) * last % PRIME
+            own = _times(_folded(sums + before[:, None]), self.up[:_ROW]).reshape(-1)[: len(part)]
+            out[first + 1 : first + 1 + len(part)] = own
+            start = int(own[-1])
+        return out
+
+    def ranges(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each range, equal for equal ranges wherever they are."""
+        out = np.empty(len(first), U)
+        for k in range(0, len(first), _LONG):  # stays in the processor's cache
+            a, n = first[k : k + _LONG], last[k : k + _LONG] - first[k : k + _LONG]
+            power = self.up[np.minimum(n, _LONG - 1)]
+            for i in np.flatnonzero(n >= _LONG):
+                power[i] = pow(self.base, int(n[i]), PRIME)
+            out[k : k + _LONG] = mix(_folded(values[last[k : k + _LONG]] + U(PRIME) - _times(values[a], power)) + n.astype(U) * U(0x9E3779B97F4A7C15))
+        return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,18 +154,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def prefix_sums(raw: np.ndarray, symbols: np.ndarray = _symbols) -> np.ndarray:
-    """Sums for :func:`range_hash`; one more than bytes."""
-    up, _ = _grown(len(raw) + 1)
-    out = np.zeros(len(raw) + 1, U)
-    np.cumsum(symbols[raw] * up[: len(raw)], out=out[1:])
-    return out
+#: Two independent hashes, for keys of more than 64 bits.
+FIRST, SECOND = Polynomial(20240229), Polynomial(77)
+
+
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    return FIRST.values(raw)
 
 
 def range_hash(sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, equal for equal bytes wherever they are."""
-    _, down = _grown(len(sums))
-    return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U))
+    return FIRST.ranges(sums, first, last)
 
 
 def table(chars: bytes) -> np.ndarray:
@@ -163,23 +225,78 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir; in tests, where that is unset, a local one."""
+    """The folder that all executors share: spark.checkpoint.dir. Only in local mode, as in tests, may it be unset."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
-    import tempfile
-
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+#: Paths and tables written by this process that are still there.
+_written: dict[str, str | None] = {}
+_open: list[list[str]] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows by way of Parquet in the shared folder: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, table: str | None = None) -> str:
+    """A path to write to, removed at the end of the :func:`scratch` around it, or of the process."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clear)
+    _written[path] = table
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def clear(paths: list[str] | None = None) -> None:
+    """Removes what :func:`stored` wrote: these paths, or all that are left."""
+    spark = SparkSession.getActiveSession()
+    for path in list(_written) if paths is None else paths:
+        table = _written.pop(path, None)
+        if spark is None or spark.sparkContext._jsc is None:
+            continue
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps, which otherwise stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """What is stored inside is removed at the end, but for the paths that the body takes out of the list."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield paths
+    finally:
+        _open.remove(paths)
+        clear(paths)
+
+
+def kept(paths: list[str], df: DataFrame) -> DataFrame:
+    """``df`` stored beyond the end of the scratch ``paths``, until the process ends."""
+    out = stored(df)
+    paths.pop()
+    return out
+
+
 def total_bytes(df: DataFrame, column: str) -> int:
     from pyspark.sql import functions as F
 
@@ -228,17 +345,10 @@ def points(t: Texts, hashed: bool = True) -> Points:
         begins[edge] |= member[edge]
         ends[edge - 1] |= member[edge - 1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    h = range_hash(point_sums(low), first, last) if hashed else np.zeros(0, U)
+    h = range_hash(prefix_sums(low), first, last) if hashed else np.zeros(0, U)
     return Points(original, low, bounds, Words(low, first, last, np.searchsorted(first, bounds), h))
 
 
-def point_sums(low: np.ndarray) -> np.ndarray:
-    up, _ = _grown(len(low) + 1)
-    out = np.zeros(len(low) + 1, U)
-    np.cumsum(mix(low.astype(U) + U(0x51ED270B)) * up[: len(low)], out=out[1:])
-    return out
-
-
 def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
     """All rows, or, of more than ``rows``, about so many, picked by a hash of ``key``: the same ones in each run."""
     from pyspark.sql import functions as F

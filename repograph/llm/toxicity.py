@@ -150,7 +150,7 @@ class Model:
 def hashes(words: list[str]) -> np.ndarray:
     point = np.array([ord(c) for c in "".join(words)], np.uint32)
     at = np.concatenate([[0], np.cumsum([len(x) for x in words])])
-    return np.sort(K.range_hash(K.point_sums(point), at[:-1], at[1:]))
+    return np.sort(K.range_hash(K.prefix_sums(point), at[:-1], at[1:]))
 
 
 def features(m: Model, t: K.Texts) -> np.ndarray:

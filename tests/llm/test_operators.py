@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from repograph.llm import bpe, chat, decontam, langid, linededup, neardup, pii, queries, search, suffix, toxicity
+from repograph.llm import bpe, chat, decontam, kernel, langid, linededup, neardup, pii, queries, search, suffix, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -107,25 +107,65 @@ def test_dense_group_in_blocks(spark, monkeypatch):
     assert got == comp
 
 
-def test_suffix_removal(spark, docs, empty):
-    rows = corpus() + [(1000, "ab" * 300, "x", "s", 1), (1001, "q" * 200, "x", "s", 1), (1002, "q" * 199, "x", "s", 1)]
-    seen = Counter()
+def plain_removal(rows):
+    seen, want = Counter(), []
     for _, t, *_ in rows:
         b = (t or "").encode()
         seen.update(b[i : i + 200] for i in range(len(b) - 199))
-    want = {}
     for k, t, *_ in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for i in range(len(b) - 199):
             if seen[b[i : i + 200]] > 1:
                 gone[i : i + 200] = b"\1" * 200
-        want[k] = len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(x for x, g in zip(b, gone) if not g)
-    got = suffix.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+        want.append((k, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(x for x, g in zip(b, gone) if not g)))
+    return Counter(want)
+
+
+def removal(df):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeats(df).collect())
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_suffix_removal(spark, empty):
+    rows = corpus() + [(1000, "ab" * 300, "x", "s", 1), (1001, "q" * 200, "x", "s", 1), (1002, "q" * 199, "x", "s", 1), (None, corpus()[9][1], "x", "s", 1), (7, "q" * 200, "x", "s", 1), (7, "q" * 200, "x", "s", 1), (8, "\0" * 250, "x", "s", 1), (9, "\0" * 260, "x", "s", 1)]
+    assert removal(spark.createDataFrame(rows, DOCS).repartition(3)) == plain_removal(rows)
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_strings_that_collide_under_powers_of_two(spark):
+    r = random.Random(6)
+    rows = [(k, t) for k, t in enumerate(x for n in (1024, 2048, 4096, 8192) for x in (thue_morse(n), thue_morse(n, "b", "a"), thue_morse(n, "x", "y"), thue_morse(n, "y", "x")))]
+    noise = "".join(chr(r.randrange(33, 120)) for _ in range(8192))
+    rows += [(100 + k, "".join(x + y for x, y in zip(thue_morse(8192, *ab), noise))) for k, ab in enumerate(["ab", "ba"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removal(df) == plain_removal(rows)
+    assert removal(df.where("doc_id >= 100")) == Counter((k, 16384, 0, 0, t.encode()) for k, t in rows[-2:])
+
+
+def test_collisions_start_anew(spark, monkeypatch):
+    seen = []
+    plain = suffix._attempt
+    monkeypatch.setattr(suffix, "ATTEMPTS", ((101, 102, 3), *suffix.ATTEMPTS))
+    monkeypatch.setattr(suffix, "_attempt", lambda *a: seen.append(x := plain(*a)) or x)
+    rows = corpus(3)
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 4096)
+    assert removal(spark.createDataFrame(rows, DOCS).repartition(4)) == plain_removal(rows)
+    assert seen[0] is None and len(seen) == 2
+    monkeypatch.setattr(suffix, "ATTEMPTS", ((101, 102, 3),))
+    with pytest.raises(RuntimeError):
+        suffix.remove_repeats(spark.createDataFrame(rows, DOCS))
+
+
+def test_nothing_is_left_behind(spark, docs):
+    suffix.remove_repeats(docs).count()
+    kernel.clear()
+    assert not kernel._written and not [t for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
+
+
 def test_cover_is_perfect():
     assert len({(i - j) % suffix.PERIOD for i in suffix.COVER for j in suffix.COVER}) == suffix.PERIOD
 
