@@ -15,6 +15,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
 
 #: Hashes are polynomials modulo this prime: two different strings of n symbols collide for at most n of 2^61 bases.
 PRIME = (1 << 61) - 1
-_ROW, _LONG = 1 << 10, 1 << 15
+#: Work arrays of ``_PART`` numbers stay in the processor's cache and below the size at which memory is mapped anew.
+_ROW, _PART, _LONG = 1 << 10, 1 << 13, 1 << 15
 
 
 def _folded(x: np.ndarray) -> np.ndarray:
@@ -117,8 +119,8 @@ class Polynomial:
     def values(self, symbols: np.ndarray) -> np.ndarray:
         """The value of each prefix; one more than symbols."""
         out, start = np.zeros(len(symbols) + 1, U), 0
-        for first in range(0, len(symbols), _LONG):
-            part = symbols[first : first + _LONG]
+        for first in range(0, len(symbols), _PART):
+            part = symbols[first : first + _PART]
             rows = -(-len(part) // _ROW)
             c = np.zeros(rows * _ROW, U)
             c[: len(part)] = part.astype(U) + U(1)
@@ -138,12 +140,12 @@ class Polynomial:
     def ranges(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each range, equal for equal ranges wherever they are."""
         out = np.empty(len(first), U)
-        for k in range(0, len(first), _LONG):  # stays in the processor's cache
-            a, n = first[k : k + _LONG], last[k : k + _LONG] - first[k : k + _LONG]
+        for k in range(0, len(first), _PART):
+            a, n = first[k : k + _PART], last[k : k + _PART] - first[k : k + _PART]
             power = self.up[np.minimum(n, _LONG - 1)]
             for i in np.flatnonzero(n >= _LONG):
                 power[i] = pow(self.base, int(n[i]), PRIME)
-            out[k : k + _LONG] = mix(_folded(values[last[k : k + _LONG]] + U(PRIME) - _times(values[a], power)) + n.astype(U) * U(0x9E3779B97F4A7C15))
+            out[k : k + _PART] = mix(_folded(values[last[k : k + _PART]] + U(PRIME) - _times(values[a], power)) + n.astype(U) * U(0x9E3779B97F4A7C15))
         return out
 
 
@@ -154,8 +156,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-#: Two independent hashes, for keys of more than 64 bits.
-FIRST, SECOND = Polynomial(20240229), Polynomial(77)
+@lru_cache(16)
+def polynomial(seed: int) -> Polynomial:
+    return Polynomial(seed)
+
+
+class ShortPolynomial:
+    """The like of bytes modulo 2^31 - 1: a quick second hash of 31 bits, for ranges below ``_LONG``."""
+
+    P = U((1 << 31) - 1)
+
+    def __init__(self, seed: int):
+        self.base = base = int(np.random.default_rng(seed).integers(1 << 16, (1 << 31) - 2))
+        self.up, self.down = ([1], [1])
+        for powers, x, n in ((self.up, base, _LONG), (self.down, pow(base, -1, int(self.P)), _ROW)):
+            while len(powers) < n:
+                powers.append(powers[-1] * x % int(self.P))
+        self.up, self.down = np.array(self.up, U), np.array(self.down, U)
+
+    def _folded(self, x: np.ndarray) -> np.ndarray:
+        x = (x & self.P) + (x >> U(31))
+        x = (x & self.P) + (x >> U(31))
+        return np.minimum(x, x - self.P)
+
+    def values(self, raw: np.ndarray) -> np.ndarray:
+        out, start = np.zeros(len(raw) + 1, U), 0
+        last, p = pow(self.base, _ROW - 1, int(self.P)), int(self.P)
+        for first in range(0, len(raw), _PART):
+            part = raw[first : first + _PART]
+            rows = -(-len(part) // _ROW)
+            c = np.zeros(rows * _ROW, U)
+            c[: len(part)] = part
+            c += U(1)
+            sums = self._folded(np.cumsum(c.reshape(rows, _ROW) * self.down, 1, dtype=U))
+            before, ends = np.zeros(rows, U), sums[:, -1].tolist()
+            for k in range(rows):
+                before[k] = start * self.base % p
+                start = (int(before[k]) + ends[k]) * last % p
+            sums += before[:, None]
+            own = self._folded(sums * self.up[:_ROW]).reshape(-1)[: len(part)]
+            out[first + 1 : first + 1 + len(part)] = own
+            start = int(own[-1])
+        return out
+
+    def ranges(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        out = np.empty(len(first), U)
+        for k in range(0, len(first), _PART):
+            a, b = first[k : k + _PART], last[k : k + _PART]
+            out[k : k + _PART] = mix(self._folded(values[b] + self.P - self._folded(values[a] * self.up[b - a])))
+        return out
+
+
+@lru_cache(16)
+def short_polynomial(seed: int) -> ShortPolynomial:
+    return ShortPolynomial(seed)
+
+
+FIRST = polynomial(20240229)
 
 
 def prefix_sums(raw: np.ndarray) -> np.ndarray:
@@ -195,7 +252,7 @@ class Words:
         return self.raw[self.first[i] : self.last[i]].tobytes()
 
 
-def words(raw: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> Words:
+def words(raw: np.ndarray, bounds: np.ndarray, inside: np.ndarray, hashed: bool = True) -> Words:
     """Maximal runs of bytes of the class ``inside`` that no row bound cuts through."""
     member = inside[raw]
     begins, ends = member.copy(), member.copy()
@@ -206,7 +263,7 @@ def words(raw: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> Words:
         begins[edge] |= member[edge]
         ends[edge - 1] |= member[edge - 1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(raw, first, last, np.searchsorted(first, bounds), range_hash(prefix_sums(raw), first, last))
+    return Words(raw, first, last, np.searchsorted(first, bounds), range_hash(prefix_sums(raw), first, last) if hashed else np.zeros(0, U))
 
 
 def rows_of(at: np.ndarray) -> np.ndarray:

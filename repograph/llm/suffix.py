@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +54,10 @@ PERIOD = 133
 #: Blocks and buckets grow beyond 256 GB and 512 GB, so that a block has a few keys at least for each bucket.
 BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 4 << 20, 1 << 17
 NAMES, TEXTS, STRINGS = 0, 1, 2
-#: Seeds of the two hashes, and bits of the first one, for each attempt.
-ATTEMPTS = ((101, 102, 56), (103, 104, 56), (105, 106, 56))
+#: Seeds of the two hashes, and bits of the keys, for each attempt.
+ATTEMPTS = ((101, 102, 71), (103, 104, 71), (105, 106, 71))
+#: A key's bits that are sorted; the other 24 are 14 more of the first hash and 10 of the second, whose other bits give the bucket.
+SORTED = 47
 
 
 def difference_cover(q: int) -> list[int]:
@@ -83,58 +86,69 @@ def difference_cover(q: int) -> list[int]:
 
 COVER = np.array(difference_cover(11))
 NAME = LENGTH - PERIOD + 1
-_hashes: dict[int, K.Polynomial] = {}
-
-
-def _hash(seed: int) -> K.Polynomial:
-    if seed not in _hashes:
-        _hashes[seed] = K.Polynomial(seed)
-    return _hashes[seed]
 
 
 def coded(keys: np.ndarray, more: np.ndarray) -> bytes:
-    """Sorted keys as differences, a plane for each byte that any of them needs; then two bytes more of each."""
+    """Sorted keys as differences, a plane for each byte that any of them needs; then three bytes more of each, if any."""
     step = np.diff(keys, prepend=U(0))
     width = max(1, (int(step[1:].max()).bit_length() + 7) // 8) if len(step) > 1 else 1
-    planes = [((step[1:] >> U(8 * k)) & U(255)).astype(np.uint8).tobytes() for k in range(width)]
-    return bytes([width]) + len(keys).to_bytes(4, "little") + int(keys[0]).to_bytes(8, "little") + b"".join(planes) + more.tobytes()
+    planes = [((x >> U(8 * k)) & U(255)).astype(np.uint8).tobytes() for x, n in ((step[1:], width), (more, 3 * (len(more) > 0))) for k in range(n)]
+    return bytes([width]) + len(keys).to_bytes(4, "little") + int(keys[0]).to_bytes(8, "little") + b"".join(planes)
 
 
 def decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     width, n, first = data[0], int.from_bytes(data[1:5], "little"), int.from_bytes(data[5:13], "little")
-    step = np.zeros(n, U)
+    step, more = np.zeros(n, U), np.zeros(n, U)
     step[0] = first
     for k, plane in enumerate(np.frombuffer(data, np.uint8, width * (n - 1), 13).reshape(width, -1)):
         step[1:] |= plane.astype(U) << U(8 * k)
-    more = np.frombuffer(data, np.uint16, offset=13 + width * (n - 1))
-    return np.cumsum(step, dtype=U), more if len(more) else np.zeros(n, np.uint16)
+    rest = np.frombuffer(data, np.uint8, offset=13 + width * (n - 1))
+    for k, plane in enumerate(rest.reshape(-1, n)):
+        more |= plane.astype(U) << U(8 * k)
+    return np.cumsum(step, dtype=U), more
+
+
+def ordered(key: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (key, more), equal ones as they stand, and where a new one begins.
+
+    Sorted are the key's highest bits with the place below them, which is much quicker than sorting places; that is
+    the order, unless keys agree in these bits alone.
+    """
+    n = len(key)
+    low = U(n.bit_length())
+    up = U(64 - int(key.max()).bit_length())
+    order = (np.sort(((key << up) >> low) << low | np.arange(n, dtype=U)) & ((U(1) << low) - U(1))).astype(np.int64)
+    for _ in range(2):
+        k, m = key[order], more[order]
+        tie = k[1:] == k[:-1]
+        if not ((k[1:] < k[:-1]) | tie & (m[1:] < m[:-1])).any():
+            break
+        order = np.lexsort((more, key))
+    return order, np.r_[True, ~tie | (m[1:] != m[:-1])]
 
 
 class Keys:
-    """Elements dealt out to buckets by their keys, equal keys as one class; classes are numbered in the order of (bucket, key)."""
+    """Elements dealt out to buckets by their keys, equal keys as one class; classes are numbered in the order of (bucket, key, more)."""
 
-    def __init__(self, bucket: np.ndarray, key: np.ndarray, more: np.ndarray | None):
+    def __init__(self, bucket: np.ndarray, key: np.ndarray, more: np.ndarray):
         self.parts: list[tuple[int, np.ndarray, np.ndarray]] = []
         n = len(key)
         self.which, self.twin = np.zeros(n, np.int64), np.full(n, -1)
-        self.key, self.more = np.zeros(0, U), np.zeros(0, np.uint16)
+        self.key, self.more = np.zeros(0, U), np.zeros(0, U)
         if not n:
             return
-        order = np.lexsort((key, bucket) if more is None else (more, key, bucket))
-        b, k = bucket[order], key[order]
-        new = np.r_[True, (b[1:] != b[:-1]) | (k[1:] != k[:-1])]
-        if more is not None:
-            m = more[order]
-            new[1:] |= m[1:] != m[:-1]
+        whole = bucket << U(SORTED) | key
+        m = more if len(more) else np.zeros(n, U)
+        order, new = ordered(whole, m)
         self.which[order] = np.cumsum(new) - 1
         # Another element of the same class, where there is one.
         again = np.flatnonzero(~new)
         self.twin[order[again - 1]] = order[again]
         self.twin[order[again]] = order[again - 1]
-        self.key = k[new]
-        self.more = m[new] if more is not None else self.more
-        cut = np.flatnonzero(np.r_[True, b[new][1:] != b[new][:-1]])
-        self.parts = [(int(b[new][i]), self.key[i:j], self.more[i:j]) for i, j in zip(cut, np.append(cut[1:], len(self.key)))]
+        whole = whole[order[new]]
+        b, self.key, self.more = whole >> U(SORTED), whole & U((1 << SORTED) - 1), m[order[new]]
+        cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        self.parts = [(int(b[i]), self.key[i:j], self.more[i:j] if len(more) else more) for i, j in zip(cut, np.append(cut[1:], len(b)))]
 
 
 class Block:
@@ -143,15 +157,21 @@ class Block:
     def __init__(self, raw: np.ndarray, bounds: np.ndarray, buckets: int, attempt: tuple[int, int, int]):
         self.raw, self.bounds, self.buckets = raw, bounds, buckets
         self.size = np.diff(bounds)
-        self.first, self.second, self.bits = _hash(attempt[0]), _hash(attempt[1]), attempt[2]
+        self.attempt = attempt
+        self.first = K.polynomial(attempt[0])
         self.sums = self.first.values(raw)
-        self.more = self.second.values(raw)
         self.long = np.flatnonzero(self.size >= LENGTH)
 
-    def dealt(self, a: np.ndarray, b: np.ndarray) -> Keys:
-        second = self.second.ranges(self.more, a, b)
-        key = self.first.ranges(self.sums, a, b) >> U(64 - self.bits)
-        return Keys(((second >> U(20)) % U(self.buckets)).astype(np.int64), key, (second & U(0xFFFF if self.bits > 32 else 0)).astype(np.uint16))
+    def keys_of(self, first: np.ndarray) -> np.ndarray:
+        return first >> U(64 - min(SORTED, self.attempt[2]))
+
+    def dealt(self, bits: np.ndarray, second: np.ndarray) -> Keys:
+        more = ((bits >> U(3)) & U((1 << 14) - 1)) << U(10) | (second & U((1 << 10) - 1))
+        return Keys((second >> U(10)) % U(self.buckets), self.keys_of(bits), more if self.attempt[2] > SORTED else np.zeros(len(more), U))
+
+    def strings(self, at: np.ndarray) -> Keys:
+        second = K.short_polynomial(self.attempt[1])
+        return self.dealt(self.first.ranges(self.sums, at, at + LENGTH), second.ranges(second.values(self.raw), at, at + LENGTH))
 
     def names(self) -> tuple[np.ndarray, Keys]:
         """Sampled places. Their names are short keys, as a collision only lets a suffix be sorted in vain."""
@@ -161,10 +181,12 @@ class Block:
             inside.append(at[at + NAME <= b])
         sample = np.concatenate(inside)
         name = self.first.ranges(self.sums, sample, sample + NAME)
-        return sample, Keys(((name & U((1 << 30) - 1)) % U(self.buckets)).astype(np.int64), name >> U(32), None)
+        return sample, Keys((name & U((1 << 30) - 1)) % U(self.buckets), name >> U(32), np.zeros(0, U))
 
     def texts(self) -> Keys:
-        return self.dealt(self.bounds[self.long], self.bounds[self.long + 1])
+        seed = self.attempt[0].to_bytes(4, "little")
+        data = [blake2b(self.raw[a:b], digest_size=16, key=seed).digest() for a, b in zip(self.bounds[self.long], self.bounds[self.long + 1])]
+        return self.dealt(*np.frombuffer(b"".join(data), U).reshape(-1, 2).T)
 
     def copies(self, texts: Keys, shared: np.ndarray, owned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the long rows have a copy, and which rows another one stands in for."""
@@ -212,19 +234,18 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     """Sorts one bucket at a time. Of (kind, bucket, block, data): kind, bucket, block; for each key a bit if other blocks have it too and one if this block is the first; of the shared keys the block before this one in the ring."""
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")
         block = np.asarray(t.column("block"))
         parts = [decoded(x) for x in t.column("data").to_pylist()]
         n = np.array([len(k) for k, _ in parts])
-        key, more, source = np.concatenate([k for k, _ in parts]), np.concatenate([m for _, m in parts]), np.repeat(np.arange(len(parts)), n)
-        order = np.lexsort((block[source], more, key))
-        k, m, held = key[order], more[order], block[source[order]]
-        first = np.r_[True, (k[1:] != k[:-1]) | (m[1:] != m[:-1])]
+        order, first = ordered(np.concatenate([k for k, _ in parts]), np.concatenate([m for _, m in parts]))
+        held = np.repeat(block, n)[order]
         begin = np.flatnonzero(first)
-        count = np.diff(np.append(begin, len(k)))
-        before = np.empty(len(k), np.int64)
+        count = np.diff(np.append(begin, len(order)))
+        before = np.empty(len(order), np.int64)
         before[1:] = held[:-1]
         before[begin] = held[begin + count - 1]
-        shared, owned, near = np.empty(len(k), bool), np.empty(len(k), bool), np.empty(len(k), np.int64)
+        shared, owned, near = np.empty(len(order), bool), np.empty(len(order), bool), np.empty(len(order), np.int64)
         shared[order], owned[order], near[order] = np.repeat(count > 1, count), first, before
         end, z = np.cumsum(n), zstandard.ZstdCompressor(3)
         bits = [[np.packbits(x[b - c : b]).tobytes() for b, c in zip(end, n)] for x in (shared, owned)]
@@ -297,13 +318,13 @@ def _state(batch: pa.RecordBatch, i: int, buckets: int, attempt: tuple[int, int,
     return own, answers, texts, told, copied, own.places(sample, names, Answers(answers, NAMES, names).shared, stood)
 
 
-ASK = "struct<kind:int,key:long,more:int,at:long>"
+ASK = "struct<kind:int,key:long,at:long>"
 
 
 def _ties(batch: pa.RecordBatch, i: int, buckets: int, attempt: tuple[int, int, int]) -> dict:
     """What a block loses, by the keys, and what has to be compared for it; differs: whether a comparison within the block failed."""
     own, answers, texts, told, copied, at = _state(batch, i, buckets, attempt)
-    keys = own.dealt(at, at + LENGTH)
+    keys = own.strings(at)
     strings = Answers(answers, STRINGS, keys)
     tied = (keys.twin >= 0) | strings.shared[keys.which]
     first, last = runs_of(at[tied])
@@ -321,11 +342,11 @@ def _ties(batch: pa.RecordBatch, i: int, buckets: int, attempt: tuple[int, int,
     far = whole[texts.twin[whole] < 0]
     c, t = keys.which[outer], texts.which[far]
     asked = pa.StructArray.from_arrays([
-        pa.array(np.r_[np.full(len(c), STRINGS), np.full(len(t), TEXTS)].astype(np.int32)), pa.array(K.signed(np.r_[keys.key[c], texts.key[t]])), pa.array(np.r_[keys.more[c], texts.more[t]].astype(np.int32)),
+        pa.array(np.r_[np.full(len(c), STRINGS), np.full(len(t), TEXTS)].astype(np.int32)), pa.array(K.signed(np.r_[keys.key[c], texts.key[t]])),
         pa.array(np.r_[at[outer], own.long[far]].astype(np.int64)),
-    ], names=["kind", "key", "more", "at"])
+    ], names=["kind", "key", "at"])
     edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-    return {"gone": edge, "to": np.r_[strings.near[c], told.near[t]], "asked": asked, "differs": differs}
+    return {"gone": edge, "places": np.stack(runs_of(at), 1).ravel(), "to": np.r_[strings.near[c], told.near[t]], "asked": asked, "differs": differs}
 
 
 def _attempt(blocks: DataFrame, buckets: int, attempt: tuple[int, int, int], paths: list[str]) -> DataFrame | None:
@@ -347,7 +368,7 @@ def _attempt(blocks: DataFrame, buckets: int, attempt: tuple[int, int, int], pat
     def tell_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, block in rows(batches):
             own, *_, at = _state(batch, i, buckets, attempt)
-            yield from _told(block, STRINGS, own.dealt(at, at + LENGTH))
+            yield from _told(block, STRINGS, own.strings(at))
 
     def with_answers(answers: DataFrame) -> DataFrame:
         # A block has an answer for each bucket that it gave keys to: bounded by its size.
@@ -362,33 +383,35 @@ def _attempt(blocks: DataFrame, buckets: int, attempt: tuple[int, int, int], pat
     def find_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, block in rows(batches):
             x = _ties(batch, i, buckets, attempt)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.array(x["gone"], pa.int64()), pa.array(x["to"], pa.int64()), x["asked"])]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists, pa.array([x["differs"]])], names=["block", "gone", "to", "asked", "differs"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.array(x["gone"], pa.int64()), pa.array(x["places"], pa.int64()), pa.array(x["to"], pa.int64()), x["asked"])]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists, pa.array([x["differs"]])], names=["block", "gone", "places", "to", "asked", "differs"])
 
-    ties = K.stored(with_answers(first.unionAll(second)).mapInArrow(find_ties, f"block long, gone array<long>, to array<long>, asked array<{ASK}>, differs boolean"))
+    ties = K.stored(with_answers(first.unionAll(second)).mapInArrow(find_ties, f"block long, gone array<long>, places array<long>, to array<long>, asked array<{ASK}>, differs boolean"))
     asks = ties.select("block", F.explode(F.arrays_zip("to", "asked")).alias("a")).select(F.col("block").alias("from"), F.col("a.to").alias("block"), "a.asked.*")
-    asks = asks.groupBy("block").agg(F.collect_list(F.struct("from", "kind", "key", "more", "at")).alias("asks"))
+    asks = asks.groupBy("block").agg(F.collect_list(F.struct("from", "kind", "key", "at")).alias("asks"))
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, _ in rows(batches):
             asked = batch.column(5)[i].as_py()
-            own, _, texts, _, _, at = _state(batch, i, buckets, attempt)
-            full = own.first.ranges(own.sums, at, at + LENGTH) >> U(64 - own.bits)
-            want = np.unique(np.array([x["key"] & (2**64 - 1) for x in asked if x["kind"] == STRINGS], U))
-            at = at[np.isin(full, want)]
-            found = own.dealt(at, at + LENGTH)
-            place = {(int(k), int(m)): int(at[p]) for k, m, p in zip(found.key[found.which], found.more[found.which], range(len(at)))}
-            row = {(int(texts.key[c]), int(texts.more[c])): int(own.long[p]) for p, c in enumerate(texts.which)}
+            own = Block(*_raw(batch, i), buckets, attempt)
+            first, last = np.asarray(batch.column(4)[i].values, np.int64).reshape(-1, 2).T
+            count = last - first + 1
+            at = np.repeat(first, count) + K.within(count)
+            key = own.keys_of(own.first.ranges(own.sums, at, at + LENGTH))
+            hit = np.isin(key, np.unique(np.array([x["key"] for x in asked if x["kind"] == STRINGS], np.int64)).astype(U))
+            place = dict(zip(key[hit].tolist(), at[hit].tolist()))
+            texts = own.texts() if any(x["kind"] == TEXTS for x in asked) else None
+            row = dict(zip(texts.key[texts.which].tolist(), own.long.tolist())) if texts else {}
             data, z = [], zstandard.ZstdCompressor(3)
             for x in asked:
-                k = (x["key"] & (2**64 - 1), x["more"])
+                k = x["key"]
                 if x["kind"] == STRINGS:
                     data.append(own.raw[place[k] : place[k] + LENGTH].tobytes())
                 else:
                     data.append(z.compress(own.raw[own.bounds[row[k]] : own.bounds[row[k] + 1]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x["from"] for x in asked], pa.int64()), pa.array([x["kind"] for x in asked], pa.int32()), pa.array([x["at"] for x in asked], pa.int64()), pa.array(data, pa.binary())], names=["block", "kind", "at", "bytes"])
 
-    replies = with_answers(first).join(asks, "block").select(*columns, "answers", "asks").mapInArrow(reply, "block long, kind int, at long, bytes binary")
+    replies = blocks.join(ties.select("block", "places"), "block").join(asks, "block").select(*columns, "places", "asks").mapInArrow(reply, "block long, kind int, at long, bytes binary")
     replies = replies.groupBy("block").agg(F.collect_list(F.struct("kind", "at", "bytes")).alias("replies"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,7 +438,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = K.total_bytes(docs, "text")
     buckets = min(max(8, size // BUCKET_BYTES), MOST_BUCKETS)
     block_bytes = min(max(BLOCK_BYTES, size // MOST_BUCKETS), 4 * BLOCK_BYTES)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (16 * BLOCK_BYTES), 20_000))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (4 * BLOCK_BYTES), 100_000))
     blocks = _blocks(docs, f"blocks_{uuid.uuid4().hex}", shards, block_bytes)
     for attempt in ATTEMPTS:
         with K.scratch() as paths:
