@@ -58,8 +58,8 @@ def shingle_sets(t: K.Texts) -> list[np.ndarray]:
     if len(h) >= WORDS:
         g = np.zeros(len(h) - WORDS + 1, U)
         for k in range(WORDS):
-            g = g * U(0x9FB21C651E98DF25) + w.hash[k : k + len(g)]
-        h[: len(g)] = K.mix(g)
+            g = K.mix(g * U(0x9FB21C651E98DF25) + w.hash[k : k + len(g)])
+        h[: len(g)] = g
     out = []
     for a, b in zip(w.at[:-1], w.at[1:]):
         if b - a >= WORDS:

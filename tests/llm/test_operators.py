@@ -171,32 +171,80 @@ def test_cover_is_perfect():
 
 
 def plain_line_dedup(rows, least=50):
+    """By all shortest runs; rows equal in id and text are one, null ids come first (of one text at most here)."""
     places, grams = {}, {}
-    for k, t, *_ in rows:
+    for k, t, *_ in {r[:2]: r for r in rows}.values():
         lines = [(i, x.strip(" \t\x0b\x0c\r")) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\x0b\x0c\r")]
+        n = [len(x.encode().split()) for _, x in lines]
         own = set()
         for a in range(len(lines)):
-            for b in range(a, len(lines)):
-                if sum(len(x.split()) for _, x in lines[a : b + 1]) >= least:
-                    own.add((a, b))
+            own |= set([(a, b) for b in range(a, len(lines)) if sum(n[a : b + 1]) >= least][:1])
+            own |= set([(b, a) for b in range(a, -1, -1) if sum(n[b : a + 1]) >= least][:1])
         for a, b in own:
             key = tuple(x for _, x in lines[a : b + 1])
-            places.setdefault(key, []).append((k, lines[a][0]))
-            grams.setdefault(k, []).append((key, lines[a][0], lines[b][0]))
-    out = {}
+            places.setdefault(key, []).append((-1 if k is None else k, lines[a][0]))
+            grams.setdefault((k, t), []).append((key, lines[a][0], lines[b][0]))
+    out = []
     for k, t, *_ in rows:
-        gone = {i for key, a, b in grams.get(k, []) if min(places[key]) != (k, a) for i in range(a, b + 1)}
-        out[k] = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-    return out
+        gone = {i for key, a, b in grams.get((k, t), []) if min(places[key]) != (-1 if k is None else k, a) for i in range(a, b + 1)}
+        out.append((k, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)))
+    return Counter(out)
+
+
+def lines_left(df):
+    return Counter((r.doc_id, r.text) for r in linededup.dedup_lines(df).collect())
 
 
 def test_line_dedup(spark, docs, empty):
-    got = linededup.dedup_lines(docs.withColumn("n_removed_lines", F.lit(7))).collect()
-    assert {r.doc_id: r.text for r in got} == plain_line_dedup(corpus())
+    got = linededup.dedup_lines(docs.withColumn("n_removed_lines", F.lit(7)))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == plain_line_dedup(corpus())
+    assert got.where("n_removed_lines <> 7").count() == 0
     assert linededup.dedup_lines(empty).count() == 0
     assert linededup.dedup_lines(docs).columns == [*docs.columns, "n_removed_lines"]
 
 
+def lined(seed=3):
+    """Texts put together from few lines of 5 to 120 words, blank lines and blanks around lines among them."""
+    r = random.Random(seed)
+    pool = [" ".join(f"w{r.randrange(400)}" for _ in range(r.choice([5, 17, 30, 60, 120]))) for _ in range(9)] + ["", " ", "x"]
+    runs = [[r.choice(pool) for _ in range(6)] for _ in range(6)]
+    rows = []
+    for k in range(70):
+        t = []
+        for _ in range(r.randrange(5)):
+            t += r.choice(runs) if r.random() < 0.6 else [r.choice(pool) for _ in range(3)]
+        rows.append((k, "\n".join(r.choice(["", " ", "\t"]) + x + r.choice(["", "\r", " "]) for x in t)))
+    return rows + [(None, rows[5][1]), (None, None), (3, rows[3][1]), (3, rows[3][1]), (4, None), (-5, rows[9][1])]
+
+
+def test_line_dedup_blank_lines_ties_and_null_ids(spark):
+    rows = lined()
+    assert lines_left(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == plain_line_dedup(rows)
+
+
+def test_line_dedup_compares_lines(spark):
+    rows = [(k, t) for k, t in enumerate(x for n in (1024, 4096) for x in (thue_morse(n, "a ", "b "), thue_morse(n, "b ", "a "), thue_morse(n, "p q\n", "r s\n"), thue_morse(n, "r s\n", "p q\n")))]
+    assert lines_left(spark.createDataFrame(rows, "doc_id long, text string")) == plain_line_dedup(rows)
+
+
+def test_line_dedup_starts_anew_on_collisions(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "ATTEMPTS", ((201, 202, 1), *linededup.ATTEMPTS))
+    rows = lined(8)
+    assert lines_left(spark.createDataFrame(rows, "doc_id long, text string")) == plain_line_dedup(rows)
+    monkeypatch.setattr(linededup, "ATTEMPTS", ((201, 202, 1),))
+    with pytest.raises(RuntimeError):
+        linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_line_dedup_keeps_columns_whatever_their_names(spark, docs):
+    names = ["runs", "__mark", "spot", "rest", "gone", "mark", "n_removed", "differs", "g_doc", "a.b", "_"]
+    more = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    got = linededup.dedup_lines(more)
+    assert got.columns == [*more.columns, "n_removed_lines"]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == plain_line_dedup(corpus())
+    assert got.select(*(F.col(f"`{n}`") for n in names)).distinct().collect() == [tuple(range(len(names)))]
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, corpus()[11][1]), (2, "one two"), (3, None), (4, "!!"), (None, "end")]
     items_df = spark.createDataFrame(items, "item_id long, text string")
