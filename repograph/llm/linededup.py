@@ -173,51 +173,54 @@ def extended(text: bytes, others: dict, seeds: list[tuple], min_words: int) -> t
 
 
 def _delete(t: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
-    """(spot, doc_id, mark, gone, differs) for each row of the bucketed table ``t`` (spot, doc_id, mark, text) with a match in ``found``."""
+    """(spot, rows) for each row of the bucketed table ``t`` (spot, doc_id, mark, text) with a match in ``found``: its id and mark, the lines that go, and whether lines differ.
+
+    Joins with the table are by spot alone, which is how it is dealt out; which row is meant is compared after.
+    """
     spot = lambda doc, mark: F.xxhash64(doc, mark)
     kind = dict(t.dtypes)["doc_id"]
-    cells = found.select("doc_id", "mark", "o_doc", "o_mark", F.explode(F.sequence(F.floor(F.col("o_i") / CELL), F.floor(F.col("o_j") / CELL))).alias("cell")).distinct()
-    cells = K.stored(cells)
-    wanted = cells.select(F.col("o_doc").alias("w_doc"), F.col("o_mark").alias("w_mark"), "cell").distinct()
+    cells = K.stored(found.select("doc_id", "mark", "o_doc", "o_mark", F.explode(F.sequence(F.floor(F.col("o_i") / CELL), F.floor(F.col("o_j") / CELL))).alias("cell")).distinct())
     # At most a cell for every CELL lines of a text.
-    wanted = wanted.groupBy("w_doc", "w_mark").agg(F.collect_list("cell").alias("cells")).withColumn("spot", spot("w_doc", "w_mark"))
-    # Rows equal in doc_id and text are one.
-    lent = t.join(wanted, "spot").where(F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("mark") == F.col("w_mark"))).select("text", "doc_id", "mark", "cells")
+    wanted = cells.select("o_doc", "o_mark", "cell").distinct().groupBy(spot("o_doc", "o_mark").alias("spot")).agg(F.collect_list(F.struct("o_doc", "o_mark", "cell")).alias("cells"))
+    lent = t.join(wanted, "spot").select("text", "doc_id", "mark", "cells")
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
         for batch in batches:
             for i in range(batch.num_rows):
-                lines = batch.column(0)[i].as_py().encode().split(b"\n")
-                own = sorted(batch.column(3)[i].as_py())
-                data = [z.compress(b"\n".join(x.strip(BLANKS) for x in lines[c * CELL : (c + 1) * CELL])) for c in own]
-                take = pa.array([i] * len(own), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(own, pa.int64()), pa.array(data, pa.binary())], names=["w_doc", "w_mark", "w_cell", "data"])
+                own = (batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+                asked = sorted(c["cell"] for c in batch.column(3)[i].as_py() if (c["o_doc"], c["o_mark"]) == own)
+                lines = batch.column(0)[i].as_py().encode().split(b"\n") if asked else []
+                data = [z.compress(b"\n".join(x.strip(BLANKS) for x in lines[c * CELL : (c + 1) * CELL])) for c in asked]
+                take = pa.array([i] * len(asked), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(asked, pa.int64()), pa.array(data, pa.binary())], names=["w_doc", "w_mark", "w_cell", "data"])
 
+    # Rows equal in doc_id and text are one.
     lent = K.stored(lent.mapInArrow(lend, f"w_doc {kind}, w_mark long, w_cell long, data binary").dropDuplicates(["w_doc", "w_mark", "w_cell"]))
     both = cells.join(lent, cells["o_doc"].eqNullSafe(lent["w_doc"]) & (cells["o_mark"] == lent["w_mark"]) & (cells["cell"] == lent["w_cell"]))
     # By row: bounded by its own windows, each of which has one first position.
-    other = F.struct("o_doc", "o_mark")
-    lines = both.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("o_doc", "o_mark", "cell", "data")).alias("cells"))
-    seeds = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("o_doc", "o_mark", "i", "j", "o_i", "o_j")).alias("seeds"))
-    asked = lines.alias("x").join(seeds.alias("y"), F.expr("x.doc_id <=> y.doc_id and x.mark = y.mark")).select(F.col("x.doc_id").alias("r_doc"), F.col("x.mark").alias("r_mark"), "cells", "seeds").withColumn("spot", spot("r_doc", "r_mark"))
-    joined = t.join(asked, "spot").where(F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("mark") == F.col("r_mark"))).select("text", "spot", "doc_id", "mark", "cells", "seeds")
+    lines = both.groupBy(spot("doc_id", "mark").alias("spot")).agg(F.collect_list(F.struct("doc_id", "mark", "o_doc", "o_mark", "cell", "data")).alias("cells"))
+    seeds = found.groupBy(spot("doc_id", "mark").alias("spot")).agg(F.collect_list(F.struct("doc_id", "mark", "o_doc", "o_mark", "i", "j", "o_i", "o_j")).alias("seeds"))
+    joined = t.join(lines, "spot").join(seeds, "spot").select("text", "spot", "doc_id", "mark", "cells", "seeds")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
+                own = (batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
+                seeds = [((s["o_doc"], s["o_mark"]), s["i"], s["j"], s["o_i"], s["o_j"]) for s in batch.column(5)[i].as_py() if (s["doc_id"], s["mark"]) == own]
+                if not seeds:
+                    continue
                 theirs: dict[tuple, dict[int, bytes]] = {}
                 for c in batch.column(4)[i].as_py():
-                    own = theirs.setdefault((c["o_doc"], c["o_mark"]), {})
-                    own.update(enumerate(z.decompress(c["data"]).split(b"\n"), c["cell"] * CELL))
-                seeds = [((s["o_doc"], s["o_mark"]), s["i"], s["j"], s["o_i"], s["o_j"]) for s in batch.column(5)[i].as_py()]
+                    if (c["doc_id"], c["mark"]) == own:
+                        theirs.setdefault((c["o_doc"], c["o_mark"]), {}).update(enumerate(z.decompress(c["data"]).split(b"\n"), c["cell"] * CELL))
                 gone, differs = extended(batch.column(0)[i].as_py().encode(), theirs, seeds, min_words)
                 runs = pa.array([[{"i": a, "j": b} for a, b in gone]], pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in (1, 2, 3)), runs, pa.array([differs])], names=["spot", "doc_id", "mark", "gone", "differs"])
 
-    out = joined.mapInArrow(extend, f"spot long, doc_id {kind}, mark long, gone array<struct<i:int,j:int>>, differs boolean")
-    return out.dropDuplicates(["doc_id", "mark"])
+    out = joined.mapInArrow(extend, f"spot long, doc_id {kind}, mark long, gone array<struct<i:int,j:int>>, differs boolean").dropDuplicates(["spot", "doc_id", "mark"])
+    return out.groupBy("spot").agg(F.collect_list(F.struct("doc_id", "mark", "gone")).alias("rows"), F.max("differs").alias("differs"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -240,22 +243,24 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             break
     else:
         raise RuntimeError("different lines had equal keys for each pair of hash bases")
-    gone = gone.select("spot", F.col("doc_id").alias("g_doc"), F.col("mark").alias("g_mark"), "gone")
-    both = t.join(gone, (t["spot"] == gone["spot"]) & t["doc_id"].eqNullSafe(gone["g_doc"]) & (t["mark"] == gone["g_mark"]), "left").select("text", "gone", "doc_id", "rest")
+    both = t.join(gone.select("spot", "rows"), "spot", "left").select("text", "rows", "doc_id", "rest", "mark")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, removed = [], []
-            for text, runs in zip(batch.column(0), batch.column(1)):
-                text, n = text.as_py(), 0
-                if text is not None and runs.is_valid:
-                    lines = text.split("\n")
-                    away = {k for r in runs.as_py() for k in range(r["i"], r["j"] + 1)}
-                    n = sum(bool(lines[k].strip(BLANKS.decode())) for k in away)
-                    text = "\n".join(x for k, x in enumerate(lines) if k not in away)
-                texts.append(text)
-                removed.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int64()), batch.column(2), batch.column(3)], names=["text", "n_removed", "doc_id", "rest"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                texts, removed, marks = [], [], batch.column(4).to_pylist()
+                for text, rows, doc, mark in zip(batch.column(0), batch.column(1), batch.column(2), marks):
+                    text, n = text.as_py(), 0
+                    if text is not None and rows.is_valid:
+                        own = next((r["gone"] for r in rows.as_py() if (r["doc_id"], r["mark"]) == (doc.as_py(), mark)), [])
+                        lines = text.split("\n")
+                        away = {k for r in own for k in range(r["i"], r["j"] + 1)}
+                        n = sum(bool(lines[k].strip(BLANKS.decode())) for k in away)
+                        text = "\n".join(x for k, x in enumerate(lines) if k not in away)
+                    texts.append(text)
+                    removed.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int64()), batch.column(2), batch.column(3)], names=["text", "n_removed", "doc_id", "rest"])
 
     schema = StructType([StructField("text", StringType()), StructField("n_removed", LongType()), docs.schema["doc_id"], t.schema["rest"]])
     out = both.mapInArrow(cut, schema)
