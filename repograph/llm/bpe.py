@@ -1,14 +1,15 @@
 """Byte-level BPE by overlapping chunks.
 
-A text is cut into chunks that overlap. Each chunk is pre-tokenised for itself;
-where two neighbours both begin a pre-token at the same place inside the
+A text is cut into chunks that overlap, each a row of its own, so the chunks of one long text are pre-tokenised by many
+tasks. Where two neighbours both begin a pre-token at the same place inside the
 overlap, all later pre-tokens agree (a match depends on nothing before its
 start), so the seam is stitched there. A seam without a common boundary, as
 within a very long word, is mended by pre-tokenising on from the last sure boundary. The
-pieces are then merged by rank. Decoding concatenates the tokens' bytes.
+stitched chunks are dealt out again and their pieces are merged by rank. A text of one chunk has no
+seams and stays where it is. Decoding concatenates the tokens' bytes.
 
 Defined results: null is encoded as the empty text, to no ids; a null list of ids
-decodes to no bytes; ids out of range raise ValueError.
+decodes to no bytes; ids out of range raise ValueError; each row is encoded by itself, whatever its id is; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import base64
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from repograph.llm import kernel as K
 
@@ -39,11 +42,9 @@ def boundaries(matcher: regex.Pattern, text: str, first: int, last: int) -> list
     return [*starts, last] if last == len(text) else starts[:-2]
 
 
-def pretokenise(matcher: regex.Pattern, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    if len(text) <= chunk + overlap:
-        return matcher.findall(text)
-    cut = [boundaries(matcher, text, a, min(len(text), a + chunk + overlap)) for a in range(0, len(text), chunk)]
-    line: list[int] = cut[0]
+def stitched(matcher: regex.Pattern, text: str, cut: list[list[int]], chunk: int, overlap: int) -> list[int]:
+    """All boundaries of the text, from those of its chunks."""
+    line = list(cut[0])
     for k in range(1, len(cut)):
         begin = k * chunk
         reach = line[-1] if line else 0
@@ -57,7 +58,7 @@ def pretokenise(matcher: regex.Pattern, text: str, chunk: int = CHUNK, overlap:
             reach = line[-1]
         if seam is not None:
             line[bisect_left(line, seam) :] = cut[k][bisect_left(cut[k], seam) :]
-    return [text[a:b] for a, b in zip(line, line[1:])]
+    return line
 
 
 @lru_cache(2)
@@ -66,43 +67,127 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def merged(piece: bytes, known: dict[bytes, int]) -> list[int]:
+    """The ids of a pre-token: of all neighbours the pair of the least rank is joined, the leftmost first, until none has a rank."""
+    if piece in known:
+        return [known[piece]]
+    n = len(piece)
+    end = list(range(1, n + 1))  # of the part that begins at a place
+    before = list(range(-1, n - 1))
+    rank: dict[int, int] = {}
+    heap: list[tuple[int, int]] = []
+
+    def look(i: int) -> None:
+        """Of the part at i and the next one."""
+        rank.pop(i, None)
+        if i >= 0 and end[i] < n and (r := known.get(piece[i : end[end[i]]])) is not None:
+            rank[i] = r
+            heappush(heap, (r, i))
+
+    for i in range(n):
+        look(i)
+    while heap:
+        r, i = heappop(heap)
+        if rank.get(i) != r:
+            continue
+        gone = end[i]
+        rank.pop(gone, None)
+        end[i] = end[gone]
+        if end[i] < n:
+            before[end[i]] = i
+        look(i)
+        if i:
+            look(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(known[piece[i : end[i]]])
+        i = end[i]
+    return out
+
+
 class Pieces(dict):
     """Ids by piece, merged when first asked for; emptied when full, so bounded."""
 
-    def __init__(self, path: str, pattern: str):
-        import tiktoken
-
-        self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})._encode_single_piece
-        self.room = CACHE
+    def __init__(self, path: str):
+        self.ranks, self.room = ranks(path), CACHE
 
     def __missing__(self, piece: str) -> list[int]:
         if self.room <= 0:
             self.clear()
             self.room = CACHE
         self.room -= 1
-        self[piece] = ids = self.merge(piece.encode())
+        self[piece] = ids = merged(piece.encode(), self.ranks)
         return ids
 
 
 @lru_cache(2)
-def pieces(path: str, pattern: str) -> Pieces:
-    return Pieces(path, pattern)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Of (doc_id, text): doc_id and ids (array<int>). ``vocabulary`` is a rank file that all executors have."""
+def _lists(rows: list[list[int]]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, ends[-1])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, known = regex.compile(pattern), pieces(vocabulary, pattern)
-        for t in K.slices(batches, "text"):
-            ids, ends = [], [0]
-            for i in range(len(t)):
-                own = list(chain.from_iterable(map(known.__getitem__, pretokenise(matcher, t.text(i).decode()))))
-                ids.append(np.array(own, np.int32))
-                ends.append(ends[-1] + len(own))
-            yield pa.RecordBatch.from_arrays([t.keys.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+def encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """Of (doc_id, text): doc_id and ids (array<int>). ``vocabulary`` is a rank file that all executors have; chunks are in characters."""
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, known = regex.compile(pattern), pieces(vocabulary)
+        for t in K.slices(batches, "text"):
+            found = [list(chain.from_iterable(map(known.__getitem__, matcher.findall(t.text(i).decode())))) for i in range(len(t))]
+            yield pa.RecordBatch.from_arrays([t.keys.column(0), _lists(found)], names=["doc_id", "ids"])
+
+    short = rows.where(F.length("text") <= chunk + overlap).mapInArrow(whole, f"doc_id {kind}, ids array<int>")
+    # A text's ids depend on nothing else, so chunks go by its digest: equal texts are encoded once.
+    long_ = rows.where(F.length("text") > chunk + overlap).withColumn("key", F.sha2("text", 256))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                for k, a in enumerate(range(0, len(text), chunk)):
+                    last = min(len(text), a + chunk + overlap)
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([last == len(text)]), pa.array([text[a:last]])], names=["key", "k", "last", "text"])
+
+    def boundaries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = regex.compile(pattern)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(3)[i].as_py()
+                starts = [m.start() for m in matcher.finditer(text)]
+                # Without the last two matches, which may depend on what follows, but at the end of the text.
+                own = [*starts, len(text)] if batch.column(2)[i].as_py() else starts[:-2]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(4)), _lists([own])], names=["key", "k", "last", "text", "starts"])
+
+    def stitch(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        texts, starts = t["text"].to_pylist(), t["starts"].to_pylist()
+        text = "".join(x[:chunk] for x in texts[:-1]) + texts[-1]
+        line = stitched(regex.compile(pattern), text, [[k * chunk + x for x in own] for k, own in enumerate(starts)], chunk, overlap)
+        # Each chunk's pieces: those that begin in it.
+        edge = [bisect_left(line, k * chunk) for k in range(len(texts))] + [len(line) - 1]
+        rows = [(k, text[line[i] : line[j]], [x - line[i] for x in line[i : j + 1]]) for k, (i, j) in enumerate(zip(edge, edge[1:])) if i < j]
+        return pa.table({"key": pa.array([t["key"][0].as_py()] * len(rows)), "k": pa.array([r[0] for r in rows], pa.int32()), "text": pa.array([r[1] for r in rows], pa.string()), "bounds": _lists([r[2] for r in rows])})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pieces(vocabulary)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, at = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+                ids = list(chain.from_iterable(known[text[a:b]] for a, b in zip(at, at[1:])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), _lists([ids])], names=["key", "k", "ids"])
+
+    chunks = long_.dropDuplicates(["key"]).select("key", "text").mapInArrow(cut, "key string, k int, last boolean, text string").repartition("key", "k")
+    told = chunks.mapInArrow(boundaries_of, "key string, k int, last boolean, text string, starts array<int>")
+    sewn = told.groupBy("key").applyInArrow(stitch, "key string, k int, text string, bounds array<int>").repartition("key", "k")
+    ids = sewn.mapInArrow(merge, "key string, k int, ids array<int>")
+    # As long as the text's ids, which make one row in the end.
+    ids = ids.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return short.unionAll(long_.select("doc_id", "key").join(ids, "key").select("doc_id", "ids"))
 
 
 @lru_cache(2)
@@ -113,6 +198,16 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(known.get(i, b"") for i in range(len(size))), np.uint8), size
 
 
+def bounded(whole: pa.RecordBatch, column: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose lists have at most ``most`` elements together, or one row."""
+    total = np.concatenate([[0], np.cumsum(np.asarray(whole.column(column).value_lengths().fill_null(0), np.int64))])
+    first = 0
+    while first < whole.num_rows:
+        last = max(first + 1, int(np.searchsorted(total, total[first] + most, "right")) - 1)
+        yield whole.slice(first, last - first)
+        first = last
+
+
 def decode(encoded: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` as they are, ids, and data (binary): the tokens' bytes one after another."""
 
@@ -120,8 +215,7 @@ def decode(encoded: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("doc
         raw, size = token_bytes(vocabulary)
         at = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
         for whole in batches:
-            for k in range(0, whole.num_rows, 64):
-                batch = whole.slice(k, 64)
+            for batch in bounded(whole, len(columns)):
                 lists = batch.column(len(columns))
                 ids = np.asarray(lists.flatten(), np.int64)
                 if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or size[ids].min() < 0):
