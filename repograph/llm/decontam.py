@@ -9,8 +9,8 @@ into stretches that all move their cursors at once, which keeps numpy busy.
 Defined results: a null or wordless text has n_words = n_hit = n_items = 0; null or wordless
 items have no window; equal items are reported each; rows with equal ids
 are judged each by itself; an item with a null id can hit words, but it is not
-listed. Patterns go to the executors in blocks of at most ``max_windows``
-windows; with more, each block is one pass over the texts and
+listed; an empty table gives no rows. Patterns go to the executors in blocks of about ``max_windows``
+windows at most (of one item, if that alone has more); with more blocks, each is one pass over the texts, one after another, and
 the passes are merged by row, so no pattern is ever dropped.
 """
 
@@ -124,21 +124,17 @@ def find_contamination(docs: DataFrame, items: DataFrame, max_windows: int = 500
     ``items`` has item_id and text. With ``keep_text`` the text stays as another column.
     """
     spark = docs.sparkSession
-    parts: list[list[tuple]] = [[]]
-    size = 0
-    # Items come in bounded fetches and are cut into blocks of max_windows windows.
-    for r in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        n = max(1, len(r[1] or "") // 2)
-        if parts[-1] and size + n > max_windows * 2:
-            parts.append([])
-            size = 0
-        parts[-1].append((r[0], r[1]))
-        size += n
+    told = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # A window begins at each word, and a word and what parts it from the next have two bytes at least.
+    most = told.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2
+    passes = max(1, -(-2 * most // max_windows))
     rows = docs.select("doc_id", "text")
 
-    def one_pass(part: list[tuple], last: bool) -> DataFrame:
-        w, windows = item_windows([x[1] for x in part])
-        sent = spark.sparkContext.broadcast((compile_windows(w, windows), [x[0] for x in part]))
+    def one_pass(rows: DataFrame, part: int, last: bool) -> DataFrame:
+        # The driver holds one pass' items at a time; a pass has about half of max_windows windows, or one long item.
+        held = told.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == part).collect()
+        w, windows = item_windows([x["text"] for x in held])
+        sent = spark.sparkContext.broadcast((compile_windows(w, windows), [x["item_id"] for x in held]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             groups, names = sent.value
@@ -155,31 +151,36 @@ def find_contamination(docs: DataFrame, items: DataFrame, max_windows: int = 500
                 if not last:
                     columns.append(pa.array(spots, pa.list_(pa.int64())))
                     names_out.append("spots")
-                if keep_text or not last:
+                if keep_text and last:
                     columns.append(t.column)
                     names_out.append("text")
                 yield pa.RecordBatch.from_arrays(columns, names=names_out)
 
         kind = dict(rows.dtypes)["doc_id"]
-        extra = ("" if last else ", spots array<long>") + (", text string" if keep_text or not last else "")
+        extra = ("" if last else ", spots array<long>") + (", text string" if keep_text and last else "")
         return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>{extra}")
 
-    if len(parts) == 1:
-        return one_pass(parts[0], True)
-    passes = [one_pass(p, False) for p in parts]
-    union = passes[0]
-    for p in passes[1:]:
+    if passes == 1:
+        return one_pass(rows, 0, True)
+    # Numbered once they are stored, so that the passes can be merged row by row.
+    whole = K.stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    numbered = whole.select(F.col("row").alias("doc_id"), "text")
+    found = [K.stored(one_pass(numbered, p, False).where((F.col("n_hit") > 0) | F.lit(p == 0))) for p in range(passes)]
+    union = found[0]
+    for p in found[1:]:
         union = union.unionAll(p)
-    merged = union.groupBy("doc_id", "text").agg(
-        F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spots"))).alias("spots"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("copies"),
+    merged = union.groupBy(F.col("doc_id").alias("row")).agg(
+        F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("spots")))).cast("long").alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    out = merged.select("doc_id", "n_words", F.size("spots").cast("long").alias("n_hit"), "items", "text", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return out.drop("copy") if keep_text else out.drop("copy", "text")
+    out = whole.join(merged, "row").select("doc_id", "n_words", "n_hit", "items", "text")
+    return out if keep_text else out.drop("text")
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, max_windows: int = 500_000) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and more) that no window of an item occurs in."""
-    others = F.struct(*(c for c in docs.columns if c != "text"))
-    found = find_contamination(docs.select(others.alias("doc_id"), "text"), items, max_windows, keep_text=True)
-    return found.where("n_hit = 0").select("doc_id.*", "text").select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)))
+    found = find_contamination(docs.select(row.alias("doc_id"), "text"), items, max_windows, keep_text=True).where("n_hit = 0")
+    place = {c: f"doc_id.c{k}" for k, c in enumerate(others)} | {"text": "text"}
+    return found.select(*(F.col(place[c]).alias(c) for c in docs.columns))

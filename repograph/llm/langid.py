@@ -6,8 +6,9 @@ of which the model knows any n-gram decides. A text's languages are compared by
 the mean of its words.
 
 The model is fitted on a bounded sample of the labelled rows (``max_rows``) and
-keeps at most ``max_words`` words and ``max_grams`` n-grams, so it can be sent
-to all executors whatever the size of the corpus is; all rows are then scored,
+keeps at most ``max_words`` words and ``max_grams`` n-grams of each length, the most frequent ones, so it can be sent
+to all executors whatever the size of the corpus is: with four languages at most
+180,000 rows of 24 bytes. A word beyond them backs off to n-grams, so it is still scored. All rows are then scored,
 as whole texts.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter;
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from repograph.llm import kernel as K
 from repograph.llm.kernel import U
@@ -86,7 +88,7 @@ def _counts(labelled: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, max_rows: int = 3000, max_words: int = 30_000, max_grams: int = 30_000) -> Model:
     """Of rows (doc_id, text, lang); rows without text or lang take no part."""
-    rows = K.sampled(labelled.where("text is not null and lang is not null"), "doc_id", max_rows)
+    rows = K.sampled(labelled.where("text is not null and lang is not null"), ["doc_id", "lang", "text"], max_rows)
     by_key = K.stored(_counts(rows).groupBy("size", "key").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("total")).where("total > 1 or size < 2"))
     got = []
     for size in (0, *ORDERS):
@@ -141,15 +143,22 @@ def word_scores(m: Model, w: K.Words) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """Of (doc_id, text): doc_id, lang_pred, score; with ``keep`` all columns, lang_pred and score."""
-    if keep:
-        others = F.struct(*(c for c in docs.columns if c != "text"))
-        found = _identified(docs.select(others.alias("doc_id"), "text"), model, True)
-        return found.select("doc_id.*", "text", "lang_pred", "score")
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """Of (doc_id, text): doc_id, lang_pred, score."""
     return _identified(docs.select("doc_id", "text"), model, False)
 
 
+def recognised(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows of ``docs``, whatever their columns' names are, whose language has at least this score; a null lang is filled in."""
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)))
+    found = _identified(docs.select(row.alias("doc_id"), "text"), model, True).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    place = {c: F.col(f"doc_id.c{k}") for k, c in enumerate(others)} | {"text": F.col("text")}
+    if "lang" in place:
+        place["lang"] = F.coalesce(place["lang"], F.col("lang_pred"))
+    return found.select(*(place[c].alias(c) for c in docs.columns))
+
+
 def _identified(docs: DataFrame, model: Model, keep: bool) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -172,5 +181,5 @@ def _identified(docs: DataFrame, model: Model, keep: bool) -> DataFrame:
             told = pa.array(names[np.where(none, len(m.langs), best)].tolist(), pa.string())
             yield pa.RecordBatch.from_arrays([t.keys.column(0), *([t.column] if keep else []), told, pa.array(np.where(none, 0.0, p))], names=["doc_id", *(["text"] if keep else []), "lang_pred", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind},{' text string,' if keep else ''} lang_pred string, score double")
+    schema = StructType([docs.schema["doc_id"], *([docs.schema["text"]] if keep else []), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(run, schema)

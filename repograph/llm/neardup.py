@@ -74,8 +74,9 @@ def shingle_sets(t: K.Texts) -> list[np.ndarray]:
     return out
 
 
-def minhashes(s: np.ndarray) -> np.ndarray:
-    return (s[:, None] * _factor + _offset).min(0)
+def minhashes(s: np.ndarray, part: int = 1 << 14) -> np.ndarray:
+    """A part of a long set at a time."""
+    return np.min([(s[k : k + part, None] * _factor + _offset).min(0) for k in range(0, len(s), part)], 0)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -106,8 +107,8 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(x.encode()) for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "packed"])
+        for t in K.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([t.keys.column(0), pa.array([z.compress(t.text(i)) for i in range(len(t))], pa.binary())], names=["id", "packed"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, packed binary")
 

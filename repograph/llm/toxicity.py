@@ -7,8 +7,9 @@ table step for each character, all words of a slice at once. A hit counts
 less where it is quoted or reported (quotation marks around it, words of saying
 before it) and more where it is addressed to someone; a logistic model turns the sums into a score.
 
-Learning uses a bounded sample of labelled rows (``max_rows``) and at most
-``max_terms`` terms. All rows are scored, as whole texts.
+Learning uses a bounded sample of labelled rows (``max_rows``). Of the terms that the sample shows to be
+toxic the ``max_terms`` words and stems with the most evidence are kept, as the automaton's table grows with them (60 take
+a few MB); ``max_clean`` of the sample's commonest clean words limit how far misspellings reach. All rows are scored, as whole texts.
 
 Defined results: an empty or null text has the score of a text without hits;
 with no labels of both kinds there are no terms and the score is the share of label 1
@@ -121,15 +122,15 @@ def automaton(words: dict[str, int], stems: list[str]) -> Automaton:
 
 def run_automaton(a: Automaton, point: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """For each word: 0, or 1 + edits."""
-    table = np.zeros(0x3000, np.int32)
+    # One more than the highest character of a term; all above count as it does, as no term has them.
+    table = np.zeros(max(a.classes, default=0) + 2, np.int32)
     for c, k in a.classes.items():
-        if c < len(table):
-            table[c] = k
+        table[c] = k
     out = np.zeros(len(first), np.int8)
     active, state, at = np.arange(len(first)), np.ones(len(first), np.int32), first.copy()
     while len(active):
         c = point[at]
-        state = a.step[state, np.where(c < len(table), table[np.minimum(c, len(table) - 1)], 0)]
+        state = a.step[state, table[np.minimum(c, len(table) - 1)]]
         at = at + 1
         done = at == last[active]
         out[active[done]] = a.value[state[done]]
@@ -190,7 +191,7 @@ def features(m: Model, t: K.Texts) -> np.ndarray:
     return np.log1p(out)
 
 
-def lexicon(rows: DataFrame, max_terms: int) -> tuple[list[str], list[str], list[str]]:
+def lexicon(rows: DataFrame, max_terms: int, max_clean: int) -> tuple[list[str], list[str], list[str]]:
     """Words, stems and words of clean documents from rows (text, toxic), by how far their documents' labels are from chance.
 
     A stem stands for words that are rarer than itself.
@@ -215,7 +216,7 @@ def lexicon(rows: DataFrame, max_terms: int) -> tuple[list[str], list[str], list
         if covered and r["a"] >= 1.5 * covered and not any(r["w"].startswith(s) for s in stems):
             stems.append(r["w"])
     words = [w for w, _ in found if not any(w.startswith(s) for s in stems)][:max_terms]
-    clean = [r["w"] for r in per_word.where("b > 0").orderBy(F.desc("b"), "w").limit(20_000).select("w").collect()]
+    clean = [r["w"] for r in per_word.where("b > 0").orderBy(F.desc("b"), "w").limit(max_clean).select("w").collect()]
     return words, stems[:max_terms], clean
 
 
@@ -231,16 +232,16 @@ def edits_for(words: list[str], clean: list[str]) -> dict[str, int]:
     return out
 
 
-def fit(labelled: DataFrame, max_rows: int = 4000, max_terms: int = 60) -> Model:
-    """Of rows (doc_id, text, toxic 0/1); rows without text or label take no part."""
-    rows = K.stored(K.sampled(labelled.where("text is not null and toxic in (0, 1)"), "doc_id", max_rows).select("text", F.col("toxic").cast("int").alias("toxic")))
+def fit(labelled: DataFrame, max_rows: int = 4000, max_terms: int = 60, max_clean: int = 20_000, report: list[str] = REPORTING, address: list[str] = ADDRESS) -> Model:
+    """Of rows (doc_id, text, toxic 0/1); rows without text or label take no part. ``report`` and ``address``: words of saying and of address."""
+    rows = K.stored(K.sampled(labelled.where("text is not null and toxic in (0, 1)"), ["doc_id", "text"], max_rows).select("text", F.col("toxic").cast("int").alias("toxic")))
     n1, n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     share = (n1 + 0.5) / (n + 1) if n else 0.0
-    words, stems, clean = lexicon(rows, max_terms)
+    words, stems, clean = lexicon(rows, max_terms, max_clean)
     if not words and not stems:
         return Model(None, np.zeros(3), float(np.log(share / (1 - share))) if share else -30.0)
     bias = 0.0
-    m = Model(automaton(edits_for(words, clean), stems), PRIOR, bias)
+    m = Model(automaton(edits_for(words, clean), stems), PRIOR, bias, hashes(report), hashes(address))
     sent = rows.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
