@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder (spark.checkpoint.dir); a local folder where that is unset, as in tests."""
+    """A checkpoint in the cluster's shared folder (spark.checkpoint.dir). Only in local mode, as in tests, may that be unset."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/checkpoints")
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(given or tempfile.gettempdir() + "/checkpoints")
     return df.checkpoint()

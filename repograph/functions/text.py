@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 STOP_WORDS = "the a an and or if then else for of to in on at by is it as with this that be from are we you i".split()
 LANGUAGES = {
     "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
-    "py": "python", "pyi": "python", "go": "go", "rs": "rust", "java": "java", "rb": "ruby", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "cs": "csharp", "php": "php",
-    "md": "markdown", "mdx": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "html": "html", "css": "css", "scss": "css", "sh": "shell", "bash": "shell", "sql": "sql",
+    "py": "python", "go": "go", "rs": "rust", "java": "java", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "cs": "csharp",
+    "sh": "shell", "bash": "shell", "zsh": "shell", "md": "markdown", "mdx": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "html": "html", "htm": "html", "css": "css", "scss": "css", "less": "css",
 }
-SOURCE_LANGUAGES = ["typescript", "javascript", "python", "go", "rust", "java", "ruby", "c", "cpp", "csharp", "php"]
+SOURCE_LANGUAGES = ["typescript", "javascript", "python", "go", "rust", "java", "ruby", "php", "c", "cpp", "csharp"]
+
+#: A token: a longest run of its characters, two or more, that isn't a stop word.
+TOKEN = r"(?<![a-z0-9_$])(?!(?:" + "|".join(w for w in STOP_WORDS if len(w) > 1) + r")(?![a-z0-9_$]))[a-z0-9_$]{2,}"
 
 
 def tokenize(c: Column) -> Column:
     """Lower-case tokens of [a-z0-9_$], longer than one character, without stop words; identifiers stay whole."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.split(F.lower(c), r"[^a-z0-9_$]+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
+
+
+def occurrences(tokens: Column, token: str) -> Column:
+    return F.size(tokens) - F.size(F.array_remove(tokens, token))
 
 
 def split_identifier(c: Column) -> Column:

@@ -15,34 +15,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograph.functions import text as T
+from repograph.operators import syntax
 
 BLOCK_LINES, SYMBOL_LINES, TITLE_CHARS = 60, 240, 80
 
-_NAME = r"([A-Za-z_$][\w$]*)"
-_OUT = r"^\s*(?:export\s+)?"
+# Fixed values: (kind, pattern) by language, tried in this order.
 _SCRIPT = [
-    ("interface", _OUT + r"interface\s+" + _NAME),
-    ("type", _OUT + r"type\s+" + _NAME + r"\s*[=<]"),
-    ("class", _OUT + r"(?:default\s+)?(?:abstract\s+)?class\s+" + _NAME),
-    ("enum", _OUT + r"(?:const\s+)?enum\s+" + _NAME),
-    ("function", _OUT + r"(?:default\s+)?(?:async\s+)?function\s*\*?\s*" + _NAME),
-    ("constant", _OUT + r"const\s+" + _NAME + r"\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>"),
-    ("constant", _OUT + r"const\s+([A-Z][A-Z0-9_]*)\b"),
-    ("method", r"^\s{2,}(?:(?:public|private|protected|static|readonly)\s+)*(?:async\s+|get\s+|set\s+)?" + _NAME + r"\s*\([^)]*\)\s*[:{]"),
+    ("interface", r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)"),
+    ("type", r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*[=<]"),
+    ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
+    ("enum", r"^\s*(?:export\s+)?enum\s+([A-Za-z_$][\w$]*)"),
+    ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+([A-Za-z_$][\w$]*)"),
+    ("constant", r"^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)?\s*=>"),
+    ("constant", r"^\s*(?:export\s+)?const\s+([A-Z_$][A-Z0-9_$]*)\s*="),
+    ("method", r"^\s{2,}(?:public\s+|private\s+|protected\s+|static\s+|readonly\s+)*(?:async\s+|get\s+|set\s+)?([a-zA-Z_$][\w$]*)\s*\([^)]*\)\s*[:{]"),
 ]
-PATTERNS = {language: [(kind, re.compile(p)) for kind, p in own] for language, own in {
+PATTERNS = {language: [(kind, re.compile(p, re.A)) for kind, p in own] for language, own in {
     "typescript": _SCRIPT, "javascript": _SCRIPT,
-    "python": [("class", r"^\s*class\s+(\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(\w+)"), ("constant", r"^([A-Z][A-Z0-9_]*)\s*=")],
-    "go": [("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("struct", r"^type\s+(\w+)\s+(?:struct|interface)\b"), ("constant", r"^const\s+(\w+)")],
-    "rust": [(kind, r"^\s*(?:pub(?:\([^)]*\))?\s+)?" + word + r"\s+(\w+)") for kind, word in (("function", r"(?:async\s+)?fn"), ("struct", "struct"), ("trait", "trait"), ("enum", "enum"))],
-    "java": [(word, r"^\s*(?:(?:public|private|protected|abstract|static|final)\s+)*" + word + r"\s+(\w+)") for word in ("class", "interface", "enum")],
-    "ruby": [("class", r"^\s*class\s+(\w+)"), ("method", r"^\s*def\s+(?:self\.)?(\w+[?!]?)"), ("constant", r"^\s*([A-Z][A-Z0-9_]*)\s*=")],
+    "python": [("class", r"^\s*class\s+([A-Za-z_]\w*)"), ("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)"), ("constant", r"^([A-Z_][A-Z0-9_]*)\s*=")],
+    "go": [("function", r"^func\s+(?:\([^)]*\)\s+)?([A-Za-z_]\w*)\s*\("), ("type", r"^type\s+([A-Za-z_]\w*)\s+(?:struct|interface)"), ("constant", r"^const\s+([A-Za-z_]\w*)")],
+    "rust": [("function", r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+([a-z_]\w*)"), ("struct", r"^\s*(?:pub\s+)?struct\s+([A-Za-z_]\w*)"), ("trait", r"^\s*(?:pub\s+)?trait\s+([A-Za-z_]\w*)"), ("enum", r"^\s*(?:pub\s+)?enum\s+([A-Za-z_]\w*)")],
+    "java": [("class", r"^\s*(?:public\s+|private\s+|protected\s+)?(?:abstract\s+|final\s+|static\s+)*class\s+([A-Za-z_]\w*)"), ("interface", r"^\s*(?:public\s+)?interface\s+([A-Za-z_]\w*)"), ("enum", r"^\s*(?:public\s+)?enum\s+([A-Za-z_]\w*)")],
+    "ruby": [("class", r"^\s*class\s+([A-Za-z_]\w*)"), ("method", r"^\s*def\s+([a-z_]\w*[?!]?)"), ("constant", r"^\s*([A-Z][A-Z0-9_]*)\s*=")],
 }.items()}
+_EXPORTS = re.compile(r"^\s*export\s")
+_HEADING = re.compile(r"^#{1,3}\s")
+_SCRIPT_IMPORT = re.compile(r"""import\s+(?:[^'"]*?\s+from\s+)?['"]([^'"]+)['"]""")
+_PYTHON_IMPORT = re.compile(r"from\s+([\w.]+)\s+import|import\s+([\w.]+)", re.A)
 
-_WORD = re.compile(r"[A-Za-z_$][\w$]*")
-_HEADING = re.compile(r"^#{1,3}\s+(.*)")
-_SCRIPT_IMPORT = re.compile(r"""\bimport\s+(?:[^'";]*?\bfrom\s+)?['"]([^'"]+)['"]""")
-_PYTHON_IMPORT = re.compile(r"^\s*(?:from\s+([\w.]+)\s+import\b|import\s+([\w.]+))", re.M)
+_WORD = re.compile(r"[A-Za-z_$][\w$]*", re.A)
 
 SYMBOL = "struct<name: string, kind: string, line: int, end_line: int, exported: boolean>"
 CHUNK = "struct<kind: string, symbol_name: string, symbol_kind: string, start_line: int, end_line: int, content: string>"
@@ -51,11 +52,11 @@ SCHEMA = f"file_path string, language string, symbols array<{SYMBOL}>, chunks ar
 
 def exported_names(lines: list[str]) -> set[str]:
     """Every identifier of the lines that begin with export."""
-    return {w for line in lines if line.startswith("export ") for w in _WORD.findall(line)}
+    return {w for line in lines if _EXPORTS.match(line) for w in _WORD.findall(line)}
 
 
 def scan_symbols(lines: list[str], language: str) -> list[dict]:
-    """In each line the first pattern with a name of two characters that the file hasn't had; a symbol ends before the next, the last at the end."""
+    """In each line the first pattern with a name of two characters that the file hasn't had; a symbol ends before the next, the last at the end. One without any text is none."""
     out, seen, public = [], set(), exported_names(lines)
     for k, line in enumerate(lines):
         for kind, pattern in PATTERNS.get(language, ()):
@@ -78,21 +79,25 @@ def scan_chunks(lines: list[str], language: str, symbols: list[dict]) -> list[di
     out: list[dict] = []
     if symbols:
         for s in symbols:
-            out += _chunk("symbol", s["name"], s["kind"], s["line"], s["end_line"], "\n".join(lines[s["line"] - 1 : s["end_line"]]))
+            out += _chunk("symbol", s["name"], s["kind"], s["line"], min(s["end_line"], len(lines)), "\n".join(lines[s["line"] - 1 : s["end_line"]]))
         return out
-    heads = [(k, m[1].strip()) for k, line in enumerate(lines) if (m := _HEADING.match(line))] if language == "markdown" else []
-    for (a, title), b in zip(heads, [k for k, _ in heads[1:]] + [len(lines)]):
-        out += _chunk("md", title[:TITLE_CHARS] or None, None, a + 1, b, "\n".join(lines[a:b]).strip())
+    heads = [k for k, line in enumerate(lines) if _HEADING.match(line)] if language == "markdown" else []
+    for a, b in zip(heads, [*heads[1:], len(lines)]):
+        title = re.sub(r"^#+\s*", "", lines[a])[:TITLE_CHARS]
+        out += _chunk("prose", title or None, None, a + 1, b, "\n".join(lines[a:b]).strip())
     if not heads:
         for a in range(0, len(lines), BLOCK_LINES):
             out += _chunk("block", None, None, a + 1, min(a + BLOCK_LINES, len(lines)), "\n".join(lines[a : a + BLOCK_LINES]))
     return out
 
 
-def scan_uses(lines: list[str], symbols: list[dict]) -> list[dict]:
-    """(name, line) of identifiers, once a line, but for a symbol's name on its own first line."""
-    own = {(s["name"], s["line"]) for s in symbols}
-    return [{"name": w, "line": k} for k, line in enumerate(lines, 1) for w in dict.fromkeys(_WORD.findall(line)) if len(w) > 1 and (w, k) not in own]
+def scan(content: str, language: str, mode: str = "auto") -> tuple[list[dict], list[dict], list[dict]]:
+    """(symbols, chunks, uses). ``mode``: "auto" reads tokens where the language allows it and line patterns elsewhere; "patterns" has line patterns only, and no uses."""
+    found, uses = syntax.scan(content, language) if mode == "auto" else (None, None)
+    lines = content.split("\n")
+    if found is None:
+        found = scan_symbols(lines, language)
+    return found, scan_chunks(lines, language, found), uses or []
 
 
 def candidates(path: str, spec: str, language: str) -> list[str]:
@@ -121,17 +126,15 @@ def scan_imports(path: str, content: str, language: str) -> list[dict]:
     return [{"spec": s, "candidates": c} for s in dict.fromkeys(specs) if (c := candidates(path, s, language))]
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, mode: str = "auto") -> DataFrame:
     """Per row of (file_path, content): language, symbols, chunks, ref_lines, specs. Null and empty contents give no row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content, language in zip(batch["file_path"], batch["content"], batch["language"]):
-                lines = content.split("\n")
-                found = scan_symbols(lines, language)
-                uses = scan_uses(lines, found) if language in T.SOURCE_LANGUAGES else []
-                rows.append((path, language, found, scan_chunks(lines, language, found), uses, scan_imports(path, content, language)))
+                found, own, uses = scan(content, language, mode)
+                rows.append((path, language, found, own, uses, scan_imports(path, content, language)))
             yield pd.DataFrame(rows, columns=["file_path", "language", "symbols", "chunks", "ref_lines", "specs"])
 
     base = F.element_at(F.split("file_path", "/"), -1)
@@ -144,14 +147,12 @@ def symbols(found: DataFrame) -> DataFrame:
 
 def chunks(found: DataFrame) -> DataFrame:
     own = found.select("file_path", "language", F.explode("chunks").alias("c")).select("file_path", "language", "c.*")
-    named = F.when(F.col("kind") == "symbol", F.col("symbol_name")).otherwise(F.col("kind"))
+    named = F.when(F.col("kind") == "symbol", F.col("symbol_name")).when(F.col("kind") == "prose", "md").otherwise("block")
     return own.withColumn("chunk_id", F.concat("file_path", F.lit("#"), named, F.lit("@"), "start_line"))
 
 
 def ref_lines(found: DataFrame) -> DataFrame:
-    """Uses of names that are a symbol anywhere."""
-    names = symbols(found).select("name").distinct()
-    return found.select("file_path", F.explode("ref_lines").alias("r")).select("r.name", "file_path", "r.line").join(names, "name", "left_semi")
+    return found.select("file_path", F.explode("ref_lines").alias("r")).select("r.name", "file_path", "r.line")
 
 
 def specs(found: DataFrame) -> DataFrame:

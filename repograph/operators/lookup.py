@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograph.functions import text as T
-from repograph.operators.graph import first_per
 
 
 def references(ref_lines: DataFrame, name: str | None = None) -> DataFrame:
@@ -38,16 +37,19 @@ def suggest(symbols: DataFrame, query: str, limit: int = 5, chars: int | None =
 
 
 def candidates(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(name, detail, kind): the first exported symbol of each name, and the files, in order of display."""
-    own = first_per(symbols.where("exported"), ["name"], ["sym_ord"]).select("name", F.concat("kind", F.lit(" · "), "file_path").alias("detail"), F.lit("symbol").alias("kind"))
-    names = files.where(~F.col("rel_path").startswith("..")).select(F.element_at(F.split("rel_path", "/"), -1).alias("name"), F.col("rel_path").alias("detail"), F.lit("file").alias("kind"))
+    """(name, detail, kind): the first exported symbol of each name, and the files of (rel_path, language, chunk_count)."""
+    first = F.min_by(F.struct("kind", "file_path", "line"), "sym_ord")
+    own = symbols.where("exported").groupBy("name").agg(first.alias("s")).select("name", F.concat("s.kind", F.lit(" · "), "s.file_path", F.lit(":"), "s.line").alias("detail"), F.lit("symbol").alias("kind"))
+    names = files.where(~F.col("rel_path").startswith("..")).select(F.col("rel_path").alias("name"), F.concat("language", F.lit(" · "), "chunk_count", F.lit(" chunks")).alias("detail"), F.lit("file").alias("kind"))
     return own.unionByName(names)
 
 
 def rank(found: DataFrame, query: str, limit: int = 200) -> DataFrame:
+    """Symbols before files for an empty query; else by score, then name."""
+    query, by_name = query.strip(), F.collate("name", "UNICODE")
     if not query:
-        return found.orderBy(F.desc(F.col("kind") == "symbol"), F.collate("name", "UNICODE"), "detail").limit(limit)
-    return found.withColumn("rank", T.fuzzy_score(F.col("name"), F.col("detail"), query)).where("rank > 0").orderBy(F.desc("rank"), "name", "detail").limit(limit)
+        return found.orderBy(F.desc(F.col("kind") == "symbol"), by_name, "detail").limit(limit)
+    return found.withColumn("rank", T.fuzzy_score(F.col("name"), F.col("detail"), query)).where("rank > 0").orderBy(F.desc("rank"), by_name, F.desc(F.col("kind") == "symbol"), "name", "detail").limit(limit)
 
 
 def stats(**tables: DataFrame) -> DataFrame:

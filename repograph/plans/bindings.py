@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repograph.functions import text as T
-from repograph.operators import graph, incremental, lookup, search
+from repograph.operators import extract, graph, incremental, lookup, search
 from repograph.sources import ignore
 
 QUERY = "the and theation"
+SYMBOL_QUERY = "file read"
+CANDIDATE = "d#13"
 TARGET = 3
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 TOKENS_SQL = f"list_filter(regexp_split_to_array(lower(%s), '[^a-z0-9_$]+'), lambda t: length(t) > 1 AND t NOT IN ({STOP_SQL}))"
@@ -62,9 +64,31 @@ def cosine_topk(spark, sf_dir):
     return search.cosine_top_k(read(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), "vec_id", "embedding")
 
 
+def with_vectors(spark, sf_dir):
+    """Documents, of which some have a vector, and a name for some."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    own = read(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("readTheFile"), F.col("doc_id").cast("string"))).alias("symbol"))
+    return own.join(vectors, "doc_id", "left")
+
+
 def hybrid_search(spark, sf_dir):
-    own = read(spark, sf_dir, "documents").select("doc_id", "text").join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return search.hybrid_search(own, QUERY, _vector(spark, sf_dir), "doc_id", "text", "embedding").select("doc_id", "score", "matched_by")
+    return search.hybrid_search(with_vectors(spark, sf_dir), QUERY, _vector(spark, sf_dir), "doc_id", "text", "embedding").select("doc_id", "score", "matched_by")
+
+
+def hybrid_symbol_search(spark, sf_dir):
+    return search.hybrid_search(with_vectors(spark, sf_dir), SYMBOL_QUERY, _vector(spark, sf_dir), "doc_id", "text", "embedding", "symbol").select("doc_id", "score", "matched_by")
+
+
+def postings_search(spark, sf_dir):
+    """The lexical search through postings, as the engine's stored ones."""
+    own = doc_blocks(spark, sf_dir).withColumn("chunk", F.format_string("%010d#%06d", "doc_id", "start_line"))
+    return search.indexed_search(own.select("chunk", "doc_id"), search.postings(own, "chunk", "content"), QUERY, "chunk").select("chunk", "score", "matched_by")
+
+
+def postings_hybrid_search(spark, sf_dir):
+    own = with_vectors(spark, sf_dir)
+    found = search.indexed_hybrid_search(own, search.postings(own, "doc_id", "text", "symbol"), SYMBOL_QUERY, _vector(spark, sf_dir), "doc_id", "embedding", "symbol")
+    return found.select("doc_id", "score", "matched_by")
 
 
 def split_identifier(spark, sf_dir):
@@ -72,9 +96,12 @@ def split_identifier(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(T.split_identifier(c), " ").alias("words"))
 
 
+EXTENSIONS = [*T.LANGUAGES, "xyz", "PY", "d.ts", "lock"]
+
+
 def language_detect(spark, sf_dir):
-    name = F.concat_ws(".", F.lit("f"), F.get(F.array(*map(F.lit, ["ts", "PY", "rs", "md", "xyz", "Go"])), (F.col("p_partkey") % 6).cast("int")))
-    lang = T.language_of(name)
+    ext = F.get(F.array(*map(F.lit, EXTENSIONS)), (F.col("p_partkey") % len(EXTENSIONS)).cast("int"))
+    lang = T.language_of(F.concat_ws(".", F.lit("f"), ext))
     return read(spark, sf_dir, "part").select("p_partkey", lang.alias("language"), T.is_source(lang).alias("source"))
 
 
@@ -181,8 +208,81 @@ def suggest(spark, sf_dir):
 
 def candidate_rank(spark, sf_dir):
     own = part_symbols(spark, sf_dir)
-    files = own.select(F.concat(F.lit("src/"), "file_path").alias("rel_path")).distinct()
-    return lookup.rank(lookup.candidates(own, files), "br1").select("name", "detail", "kind", "rank")
+    files = own.groupBy(F.concat(F.lit("src/"), "file_path").alias("rel_path")).agg(F.lit("go").alias("language"), F.count("*").alias("chunk_count"))
+    return lookup.rank(lookup.candidates(own, files), CANDIDATE).select("name", "detail", "kind", "rank")
+
+
+# A source tree out of parts: seven kinds of files, whose extracts follow from their numbers.
+FILE_KINDS = {
+    "ts": "export function load%(k)s(raw: string) {\n  const held = read%(k)s(raw); // read%(k)s again\n  return held;\n}\n\nexport class Box%(k)s {\n  constructor() {}\n  open(path) {\n    return 'load%(k)s';\n  }\n}\n",
+    "py": "import pkg.f%(k)s\n\nclass Job%(k)s:\n    def run%(k)s(self):\n        return self.boot%(k)s()\n",
+    "go": "func Boot%(k)s() error {\n\treturn nil\n}\n\ntype Server%(k)s struct {\n\tport int\n}\n",
+    "rs": "pub struct Item%(k)s {\n}\n\nfn go%(k)s() {\n}\n",
+    "java": "public class Main%(k)s {\n  // class Other%(k)s {\n}\n",
+    "rb": "class Dog%(k)s\n  def bark%(k)s\n  end\nend\n",
+    "md": "intro\n# Top %(k)s\ntext\n#### deep\n## Sub\nmore\n",
+}
+MODES = {
+    "auto": {
+        "ts": [("load%", "function", 1, 4, True), ("held", "variable", 2, 2, False), ("Box%", "class", 6, 11, True), ("open", "method", 8, 10, False)],
+        "py": [("Job%", "class", 3, 5, False), ("run%", "function", 4, 5, False)], "go": [("Boot%", "function", 1, 3, False), ("Server%", "type", 5, 7, False)],
+        "rs": [("Item%", "struct", 1, 2, True), ("go%", "function", 4, 5, False)], "java": [("Main%", "class", 1, 3, False)], "rb": [("Dog%", "class", 1, 1, False), ("bark%", "method", 2, 5, False)], "md": [],
+    },
+    "patterns": {
+        "ts": [("load%", "function", 1, 5, True), ("Box%", "class", 6, 6, True), ("constructor", "method", 7, 7, False), ("open", "method", 8, 12, False)],
+        "py": [("Job%", "class", 3, 3, False), ("run%", "function", 4, 6, False)], "go": [("Boot%", "function", 1, 4, False), ("Server%", "type", 5, 8, False)],
+        "rs": [("Item%", "struct", 1, 3, False), ("go%", "function", 4, 6, False)], "java": [("Main%", "class", 1, 4, False)], "rb": [("Dog%", "class", 1, 1, False), ("bark%", "method", 2, 5, False)], "md": [],
+    },
+}
+USES = {
+    "ts": [("raw", 1), ("read%", 2), ("raw", 2), ("held", 3), ("path", 8)], "py": [("pkg", 1), ("f%", 1), ("self", 4), ("self", 5), ("boot%", 5)], "go": [("error", 1), ("port", 6), ("int", 6)], "rs": [], "java": [], "rb": [("Dog%", 1), ("bark%", 2)], "md": [],
+}
+
+
+def part_files(spark, sf_dir):
+    exts = list(FILE_KINDS)
+    k = F.col("p_partkey").cast("string")
+    of = lambda texts: F.get(F.array(*texts), (F.col("p_partkey") % len(exts)).cast("int"))
+    text = of([F.replace(F.lit(FILE_KINDS[e]), F.lit("%(k)s"), k) for e in exts])
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("pkg/f"), k, F.lit("."), of(map(F.lit, exts))).alias("file_path"), text.alias("content"))
+
+
+def _files_sql(rows: dict[str, list[tuple]], columns: str) -> str:
+    """For each kind of file its rows, with the part's number in the place of each %."""
+    told = lambda v: ("'" + v.replace("'", "''") + "'") if isinstance(v, str) else str(v).lower()
+    values = ", ".join(f"({i}, '{e}', {', '.join(map(told, r))})" for i, e in enumerate(FILE_KINDS) for r in rows[e])
+    return f"(SELECT p_partkey, 'pkg/f' || p_partkey || '.' || e file_path, v.* EXCLUDE (i, e) FROM part JOIN (VALUES {values}) v(i, e, {columns}) ON p_partkey % {len(FILE_KINDS)} = i)"
+
+
+def _symbols_query(mode):
+    return lambda spark, sf_dir: extract.symbols(extract.extract(part_files(spark, sf_dir), mode)).drop("sym_ord")
+
+
+def _symbols_sql(mode):
+    return f"SELECT replace(name, '%', p_partkey::VARCHAR) AS name, kind, file_path, line::INT line, end_line::INT end_line, exported FROM {_files_sql(MODES[mode], 'name, kind, line, end_line, exported')}"
+
+
+def extract_uses(spark, sf_dir):
+    return extract.ref_lines(extract.extract(part_files(spark, sf_dir)))
+
+
+CHUNKS = {e: [("symbol", n, k, a, b) for n, k, a, b, _ in own] for e, own in MODES["auto"].items()} | {"md": [("prose", "Top %", "", 2, 4), ("prose", "Sub", "", 5, 7)]}
+
+
+def extract_chunks(spark, sf_dir):
+    own = extract.chunks(extract.extract(part_files(spark, sf_dir)))
+    return own.select("chunk_id", "kind", "symbol_name", F.coalesce("symbol_kind", F.lit("")).alias("symbol_kind"), "start_line", "end_line")
+
+
+def extract_imports(spark, sf_dir):
+    return extract.specs(extract.extract(part_files(spark, sf_dir))).select("src", "spec", F.array_join("candidates", " ").alias("candidates"))
+
+
+def tree_edges(spark, sf_dir):
+    """Imports of files of one number less, resolved against the files."""
+    back = F.replace("content", F.regexp_extract("file_path", r"f(\d+)\.py", 1), (F.regexp_extract("file_path", r"f(\d+)\.py", 1).try_cast("int") - 7).cast("string"))
+    files = part_files(spark, sf_dir).withColumn("content", F.when(F.col("file_path").endswith(".py"), back).otherwise(F.col("content")))
+    return graph.edges(graph.resolve(extract.specs(extract.extract(files)), files.select(F.col("file_path").alias("path"))))
 
 
 def symbol_impact(spark, sf_dir):
@@ -238,7 +338,9 @@ def normalize(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     chunk_blocks, tokenize, postings, lexical_search, symbol_boost_search, cosine_topk, hybrid_search, split_identifier, language_detect, first_lines, gitignore_filter, ignore_filter, file_nodes, impact_summary, breakages,
     resolve_imports, extract_links, references_rollup, total_references, definition, first_exported_per_name, suggest, candidate_rank, symbol_impact, symbol_fallback, snapshot_diff, incremental_merge, chunk_counts, status_stats, normalize,
+    hybrid_symbol_search, postings_search, postings_hybrid_search, extract_uses, extract_chunks, extract_imports, tree_edges,
 )}
+QUERIES |= {"extract_symbols": _symbols_query("auto"), "extract_symbols_by_pattern": _symbols_query("patterns")}
 QUERIES |= {"import_edges": part_links, "file_impact_depth1": _impact(1), "file_impact_depth3": _impact(3), "file_impact_depth5": _impact(5)}
 
 _asked = search.query_tokens(QUERY)
@@ -253,17 +355,41 @@ _symbol_impact = f"""WITH {SYMBOLS_SQL}, own AS (SELECT * FROM symbols WHERE nam
 u AS (SELECT file_path, 'usage' relation, min(line) line, count(*)::BIGINT uses FROM refs WHERE name = {NAME_SQL} AND file_path NOT IN (SELECT file_path FROM own) GROUP BY file_path),
 i AS (SELECT DISTINCT kind file_path, 'importer' relation, 0::BIGINT line, 0::BIGINT uses FROM symbols WHERE file_path IN (SELECT file_path FROM own) AND kind <> file_path AND kind NOT IN (SELECT file_path FROM own) AND NOT EXISTS (SELECT 1 FROM u))
 SELECT file_path, 'definition' relation, line, 0::BIGINT uses FROM own UNION ALL SELECT * FROM u UNION ALL SELECT * FROM i"""
+_lexical_sql = f"WITH {BLOCKS_SQL}, t AS (SELECT format('{{:010d}}#{{:06d}}', doc_id, start_line) chunk, {TOKENS_SQL % 'content'} t FROM blocks WHERE regexp_matches(content, '\\S')) SELECT chunk, score, 'lexical' matched_by FROM (SELECT chunk, round(({_hits})::DOUBLE / greatest(len(t), 1) / {_root!r}, 6) score FROM t) WHERE score > 0 ORDER BY score DESC, chunk LIMIT 20"
+
+def _hybrid_sql(query: str, symbol: bool) -> str:
+    asked = search.query_tokens(query)
+    hits = " + ".join(f"len(list_filter(t, lambda x: x = '{w}'))" for w in asked)
+    words = TOKENS_SQL % "text" + (f" || coalesce({_split % 's'}, [])" if symbol else "")
+    named = " OR ".join(f"contains(lower(s), '{w}')" for w in asked)
+    match = f"coalesce({named}, false)" if symbol else "false"
+    score = "round(0.7::DOUBLE * cos + 0.3::DOUBLE * lex + CASE WHEN m THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END, 6)"
+    return (
+        f"WITH {_pairs}, d AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'readTheFile' || doc_id END s FROM documents), t AS (SELECT doc_id, s, {words} t, coalesce({_cos}, 0) cos FROM d LEFT JOIN v ON vec_id = doc_id), "
+        f"x AS (SELECT doc_id, cos, {match} m, round(({hits})::DOUBLE / greatest(len(t), 1) / {len(asked) ** 0.5!r}, 6) lex FROM t) "
+        f"SELECT doc_id, {score} score, CASE WHEN m THEN 'symbol' WHEN cos >= lex THEN 'semantic' ELSE 'lexical' END matched_by FROM x WHERE {score} > 0.05 ORDER BY score DESC, doc_id LIMIT 20"
+    )
+
 
 SQL = {
     "chunk_blocks": f"WITH {BLOCKS_SQL} SELECT doc_id, start_line::INT start_line, end_line::INT end_line, length(content)::BIGINT chars FROM blocks WHERE regexp_matches(content, '\\S')",
     "tokenize": f"SELECT doc_id, len(t)::BIGINT n_tokens, array_to_string(list_slice(t, 1, 5), ' ') first_tokens FROM (SELECT doc_id, {TOKENS_SQL % 'text'} t FROM documents)",
     "postings": f"WITH {BLOCKS_SQL}, t AS (SELECT doc_id || '#' || start_line chunk, {TOKENS_SQL % 'content'} t FROM blocks WHERE regexp_matches(content, '\\S')) SELECT chunk, token, count(*)::BIGINT n, total::BIGINT total FROM (SELECT chunk, len(t) total, unnest(t) AS token FROM t) GROUP BY chunk, token, total",
-    "lexical_search": f"WITH {BLOCKS_SQL}, t AS (SELECT format('{{:010d}}#{{:06d}}', doc_id, start_line) chunk, {TOKENS_SQL % 'content'} t FROM blocks WHERE regexp_matches(content, '\\S')) SELECT chunk, score, 'lexical' matched_by FROM (SELECT chunk, round(({_hits})::DOUBLE / greatest(len(t), 1) / {_root!r}, 6) score FROM t) WHERE score > 0 ORDER BY score DESC, chunk LIMIT 20",
+    "lexical_search": _lexical_sql,
+    "postings_search": _lexical_sql,
     "symbol_boost_search": f"WITH p AS (SELECT page_id, html, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') s FROM pages), t AS (SELECT page_id, s, {TOKENS_SQL % 'html'} || coalesce({_split % 's'}, []) t FROM p), m AS (SELECT page_id, coalesce({' OR '.join(f'''contains(lower(s), '{w}')''' for w in _boost)} OR s = 'thea ation', false) m, ({_boost_hits})::DOUBLE / greatest(len(t), 1) / {len(_boost) ** 0.5!r} x FROM t) SELECT page_id, round(round(x, 6) + CASE WHEN m THEN 2.0 ELSE 0.0 END, 6) score, CASE WHEN m THEN 'symbol' ELSE 'lexical' END matched_by FROM m WHERE round(x, 6) + CASE WHEN m THEN 2.0 ELSE 0.0 END > 0 ORDER BY score DESC, page_id LIMIT 20",
     "cosine_topk": f"WITH {_pairs} SELECT vec_id, {_cos} score FROM v ORDER BY score DESC, vec_id LIMIT 20",
-    "hybrid_search": f"WITH {_pairs}, t AS (SELECT doc_id, {TOKENS_SQL % 'text'} t, {_cos} cos FROM documents JOIN v ON vec_id = doc_id), x AS (SELECT doc_id, cos, round(({_hits})::DOUBLE / greatest(len(t), 1) / {_root!r}, 6) lex FROM t) SELECT doc_id, round(0.7::DOUBLE * cos + 0.3::DOUBLE * lex, 6) score, CASE WHEN cos >= lex THEN 'semantic' ELSE 'lexical' END matched_by FROM x WHERE round(0.7::DOUBLE * cos + 0.3::DOUBLE * lex, 6) > 0.05 ORDER BY score DESC, doc_id LIMIT 20",
+    "hybrid_search": _hybrid_sql(QUERY, False),
+    "hybrid_symbol_search": _hybrid_sql(SYMBOL_QUERY, True),
+    "postings_hybrid_search": _hybrid_sql(SYMBOL_QUERY, True),
+    "extract_symbols": _symbols_sql("auto"),
+    "extract_symbols_by_pattern": _symbols_sql("patterns"),
+    "extract_uses": f"SELECT replace(name, '%', p_partkey::VARCHAR) AS name, file_path, line::INT line FROM {_files_sql(USES, 'name, line')}",
+    "extract_chunks": f"SELECT file_path || '#' || CASE WHEN kind = 'prose' THEN 'md' ELSE n END || '@' || a chunk_id, kind, n symbol_name, symbol_kind, a::INT start_line, b::INT end_line FROM (SELECT *, replace(name, '%', p_partkey::VARCHAR) n FROM {_files_sql(CHUNKS, 'kind, name, symbol_kind, a, b')})",
+    "extract_imports": "SELECT 'pkg/f' || p_partkey || '.py' src, 'pkg.f' || p_partkey spec, 'pkg/f' || p_partkey || '.py pkg/f' || p_partkey || '/__init__.py pkg.py pkg/__init__.py' candidates FROM part WHERE p_partkey % 7 = 1",
+    "tree_edges": "SELECT 'pkg/f' || p_partkey || '.py' src, 'pkg/f' || (p_partkey - 7) || '.py' dst FROM part WHERE p_partkey % 7 = 1 AND p_partkey > 7",
     "split_identifier": "SELECT c_custkey, array_to_string(" + _split % "c_name || '_' || c_mktsegment || 'HTTPServer'" + ", ' ') words FROM customer",
-    "language_detect": "SELECT p_partkey, l AS \"language\", l IN ('typescript', 'python', 'rust', 'go') \"source\" FROM (SELECT p_partkey, ['typescript', 'python', 'rust', 'markdown', 'other', 'go'][p_partkey % 6 + 1] l FROM part)",
+    "language_detect": f"SELECT p_partkey, l AS \"language\", l IN ({', '.join(repr(x) for x in T.SOURCE_LANGUAGES)}) \"source\" FROM (SELECT p_partkey, [{', '.join(repr(x) for x in [*T.LANGUAGES.values(), 'other', 'python', 'typescript', 'other'])}][p_partkey % {len(EXTENSIONS)} + 1] l FROM part)",
     "first_lines": "SELECT doc_id, substring(array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)), 1, 100) head FROM documents",
     "gitignore_filter": GITIGNORE_SQL,
     "ignore_filter": "SELECT c_custkey, c_custkey % 7 <> 5 skipped FROM customer",
@@ -279,7 +405,7 @@ SQL = {
     "definition": f"WITH {SYMBOLS_SQL} SELECT name, kind, file_path, line, end_line, exported FROM symbols WHERE name = {NAME_SQL}",
     "first_exported_per_name": f"WITH {SYMBOLS_SQL} SELECT name, file_path, line FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sym_ord) n FROM symbols WHERE exported) WHERE n = 1",
     "suggest": f"WITH {SYMBOLS_SQL} SELECT name, name || ' (' || kind || ' in ' || file_path || ')' suggestion FROM symbols WHERE contains(lower(name), 'a') ORDER BY sym_ord LIMIT 5",
-    "candidate_rank": f"WITH {SYMBOLS_SQL}, c AS (SELECT name, kind || ' · ' || file_path AS detail, 'symbol' kind FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sym_ord) n FROM symbols WHERE exported) WHERE n = 1 UNION ALL SELECT DISTINCT file_path, 'src/' || file_path, 'file' FROM symbols), r AS (SELECT *, CASE WHEN lower(name) = 'br1' THEN 100 WHEN starts_with(lower(name), 'br1') THEN 60 WHEN contains(lower(name), 'br1') THEN 30 WHEN contains(lower(detail), 'br1') THEN 10 WHEN regexp_matches(lower(name), '(?s)b.*r.*1') THEN 5 ELSE 0 END::INT AS rank FROM c) SELECT name, detail, kind, rank FROM r WHERE rank > 0 ORDER BY rank DESC, name, detail LIMIT 200",
+    "candidate_rank": f"WITH {SYMBOLS_SQL}, c AS (SELECT name, kind || ' · ' || file_path || ':' || line AS detail, 'symbol' kind FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sym_ord) n FROM symbols WHERE exported) WHERE n = 1 UNION ALL SELECT 'src/' || file_path, 'go · ' || count(*) || ' chunks', 'file' FROM symbols GROUP BY file_path), r AS (SELECT *, CASE WHEN lower(name) = '{CANDIDATE}' THEN 100 WHEN starts_with(lower(name), '{CANDIDATE}') THEN 60 WHEN contains(lower(name), '{CANDIDATE}') THEN 30 WHEN contains(lower(detail), '{CANDIDATE}') THEN 10 WHEN regexp_matches(lower(name), '(?s){'.*'.join(CANDIDATE)}') THEN 5 ELSE 0 END::INT AS rank FROM c) SELECT name, detail, kind, rank FROM r WHERE rank > 0 ORDER BY rank DESC, name, detail LIMIT 200",
     "symbol_impact": _symbol_impact.replace("%s", "SELECT p_name AS name, p_type file_path, p_partkey line FROM part WHERE p_size > 10"),
     "symbol_fallback": _symbol_impact.replace("%s", "SELECT name, file_path, line FROM symbols"),
     "snapshot_diff": f"WITH {SNAPSHOT_SQL} SELECT * FROM d WHERE change IS NOT NULL",

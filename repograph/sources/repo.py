@@ -11,8 +11,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField, StructType
 
 from repograph.sources.ignore import IGNORED_DIRS, SKIPPED_NAME, compile_rules, ignored
 
@@ -112,3 +114,27 @@ class RepoSource(DataSource):
 def read_repo(spark: SparkSession, root: str, **options) -> DataFrame:
     spark.dataSource.register(RepoSource)
     return spark.read.format("repo").options(**options).load(root)
+
+
+def listing(spark: SparkSession, root: str, **options) -> tuple[DataFrame, bool]:
+    """(file_path, mtime_ms, size_bytes) without contents, and whether there are more files than ``max_files``."""
+    rows, truncated = walk(root, **options)
+    return spark.createDataFrame(rows, "file_path string, mtime_ms long, size_bytes long"), truncated
+
+
+def contents(files: DataFrame, root: str, each: int = 500) -> DataFrame:
+    """``files`` with content, read on the executors; null where a file is gone meanwhile."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for path in rows["file_path"]:
+                try:
+                    with open(os.path.join(root, path), encoding="utf-8", errors="replace") as f:
+                        found.append(f.read())
+                except OSError:
+                    found.append(None)
+            yield rows.assign(content=found)
+
+    dealt = files.repartition(max(1, -(-files.count() // each)), "file_path")
+    return dealt.mapInPandas(run, StructType([*files.schema.fields, StructField("content", StringType())]))

@@ -8,6 +8,6 @@ from repograph.engine import Engine
 
 
 def watch(engine: Engine, interval: str = "300 milliseconds") -> StreamingQuery:
-    """Changes that come while a batch runs are found by the next one. Only the diff decides what is extracted again."""
+    """Changes that come while a batch runs are found by the next one. A batch that finds none writes nothing."""
     ticks = engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return ticks.writeStream.trigger(processingTime=interval).foreachBatch(lambda _, k: engine.index() and None).start()
