@@ -21,9 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null lang is filled in. Rows with equal ids are kept or go each by itself.
     """
-    found = langid.identify(docs, langid.fit(docs), keep=True)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return langid.recognised(docs, langid.fit(docs), LEAST_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
