@@ -118,7 +118,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) o FROM g),
 x AS (SELECT f.doc_id, min(k) a, max(k) b FROM f JOIN n ON n.doc_id = f.doc_id AND n.r IN (f.i, f.j) WHERE o > 1 GROUP BY f.doc_id, i, j),
 gone AS (SELECT DISTINCT s.doc_id, k, t FROM s JOIN x ON s.doc_id = x.doc_id AND k BETWEEN a AND b),
 kept AS (SELECT s.doc_id, coalesce(string_agg(s.s, chr(10) ORDER BY s.k) FILTER (gone.k IS NULL), '') text, count(gone.k) FILTER (gone.t <> '') n FROM s LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.k = s.k GROUP BY s.doc_id)
-SELECT doc_id, length(text)::BIGINT n_chars_kept, n::BIGINT n_removed_lines, sha256(text) kept_sha256 FROM kept
+SELECT d.doc_id, length(kept.text)::BIGINT n_chars_kept, coalesce(n, 0)::BIGINT n_removed_lines, sha256(kept.text) kept_sha256 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 OP5_SQL = """

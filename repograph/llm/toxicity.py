@@ -146,6 +146,8 @@ class Model:
     bias: float
     report: np.ndarray = field(default_factory=lambda: hashes(REPORTING))
     address: np.ndarray = field(default_factory=lambda: hashes(ADDRESS))
+    words: dict[str, int] = field(default_factory=dict)  # with the edits that count as misspellings
+    stems: list[str] = field(default_factory=list)
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -241,7 +243,8 @@ def fit(labelled: DataFrame, max_rows: int = 4000, max_terms: int = 60, max_clea
     if not words and not stems:
         return Model(None, np.zeros(3), float(np.log(share / (1 - share))) if share else -30.0)
     bias = 0.0
-    m = Model(automaton(edits_for(words, clean), stems), PRIOR, bias, hashes(report), hashes(address))
+    edits = edits_for(words, clean)
+    m = Model(automaton(edits, stems), PRIOR, bias, hashes(report), hashes(address), edits, stems)
     sent = rows.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

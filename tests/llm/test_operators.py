@@ -548,15 +548,79 @@ def test_pii_spans_do_not_depend_on_the_place():
     assert sum(want in {t[a:b] for _, a, b in own} for t, own in zip(texts, alone)) >= 0.9 * len(texts)
 
 
-def test_pipeline(spark, tmp_path):
+NAMES = ["score", "lang_pred", "runs", "__mark", "row", "n_hit", "n_words", "items", "__id", "comp", "key", "ids", "a.b", "_"]
+
+
+def plain_pipeline(rows, items):
+    """The stages by plain versions, for rows whose language is sure or which have no letter."""
+    rows = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    kept = plain_line_dedup(rows)
+    rows = [(k, t) for (k, t), n in kept.items() for _ in range(n)]
+    s = sets_of(rows)
+    comp = {k: k for k in s}
+    for _ in s:
+        for a in s:
+            for b in s:
+                if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    w = lambda t: pattern.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    wins = {tuple(own[k : k + 10]) for t in items if (own := w(t)) for k in range(max(1, len(own) - 9))}
+    hit = lambda own: any(tuple(own[a : a + len(x)]) == x for x in wins for a in range(len(own) - len(x) + 1))
+    return {k: t for k, t in rows if comp[k] == k and not hit(w(t))}
+
+
+def test_pipeline(spark, tmp_path, tiktoken_encoding):
     import corpus_pipeline as P
 
-    spark.createDataFrame(corpus(), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, corpus()[11][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus(2, 40)
+    docs = spark.createDataFrame(rows, DOCS).select("*", *(F.lit(k).alias(n) for k, n in enumerate(NAMES)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, rows[11][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in P.STAGES[:-1]:
-        before, docs = docs, stage(spark, docs, str(tmp_path))
+        before, docs = docs, kernel.stored(stage(spark, docs, str(tmp_path)))
         assert docs.columns == before.columns, name
-    got = P.run(spark, str(tmp_path)).collect()
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    assert {r.doc_id: r.decoded_sha256 for r in got} == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in texts.items()}
+        assert docs.where(" and ".join(f"`{n}` = {k}" for k, n in enumerate(NAMES))).count() == docs.count()
+    got = {r.doc_id: (r.ids, r.decoded_sha256) for r in P.run(spark, str(tmp_path)).collect()}
+    assert got == {k: (tiktoken_encoding.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in plain_pipeline(rows, [rows[11][1]]).items()}
+
+
+def test_pipeline_of_nothing_and_nulls(spark, tmp_path):
+    import corpus_pipeline as P
+
+    schema = DOCS
+    for n, rows in enumerate(([], [(None, None, None, None, None)] * 2 + [(None, "one two", None, None, 1), (3, "", None, None, 0)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{n}/benchmark.parquet")
+        assert P.run(spark, f"{tmp_path}/{n}").count() == 0
+
+
+def test_long_texts(spark):
+    """Every operator takes a text of some MB; what it finds is as for short ones."""
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(4000)]
+    long_ = "\n".join(" ".join(r.choice(words) for _ in range(12)) for _ in range(30_000))
+    df = spark.createDataFrame([(1, long_), (2, long_), (3, "short text"), (None, long_[:2000])], "doc_id long, text string")
+    got = {str(x.doc_id): x for x in neardup.components(df).collect()}
+    assert got["2"].component_id == 1 and got["1"].n_shingles > 300_000 and got["3"].component_id == 3
+    assert sorted(x.n_removed for x in suffix.remove_repeats(df).collect()) == [0, 2000, len(long_), len(long_)]
+    assert {str(x.doc_id): len(x.text) for x in linededup.dedup_lines(df).collect()}["2"] == 0
+    assert decontam.find_contamination(df, df.select(F.lit(1).alias("item_id"), F.lit(long_[:200]).alias("text"))).where("n_hit > 0").count() == 3
+    path, pattern = queries.vocabulary()
+    assert [x.n for x in bpe.decode(bpe.encode(df.where("doc_id = 1"), path, pattern), path).select(F.length("data").alias("n")).collect()] == [len(long_)]
+
+
+def test_null_and_repeated_ids(spark, docs):
+    rows = [(None, "a@b.cd one"), (None, None), (1, "the same text"), (1, "the same text"), (1, "another 10.0.0.1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = langid.Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), {n: (np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)) for n in langid.ORDERS})
+    ids = lambda out: sorted(str(x.doc_id) for x in out.collect())
+    want = ["1", "1", "1", "None", "None"]
+    path, pattern = queries.vocabulary()
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    for out in (langid.identify(df, model), toxicity.score(df, toxicity.Model(None, np.zeros(3), -3.0)), bpe.encode(df, path, pattern), pii.find(df), decontam.find_contamination(df, nothing), suffix.remove_repeats(df), linededup.dedup_lines(df), neardup.components(df)):
+        assert ids(out) == want
+    empty = df.where("false")
+    for out in (pii.find(empty), toxicity.score(empty, toxicity.Model(None, np.zeros(3), -3.0)), chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))):
+        assert out.count() == 0
