@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes repeated runs of lines; n_chars follows the text. A row may end up with an empty text and stays."""
-    out = linededup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return out if "n_removed_lines" in docs.columns else out.drop("n_removed_lines")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
