@@ -322,7 +322,11 @@ def prefixes(texts: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    docs = docs.select("doc_id", "text")
+    with K.scratch() as paths:
+        return K.kept(paths, _components(docs.select("doc_id", "text")))
+
+
+def _components(docs: DataFrame) -> DataFrame:
     sigs = K.stored(signatures(docs))
     usable = sigs.where("n > 0 and doc_id is not null")
     classes = K.stored(usable.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "left", "right", "sig")).alias("r")).select("n", "f1", "f2", "r.*"))

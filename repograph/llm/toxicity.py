@@ -236,7 +236,11 @@ def edits_for(words: list[str], clean: list[str]) -> dict[str, int]:
 
 def fit(labelled: DataFrame, max_rows: int = 4000, max_terms: int = 60, max_clean: int = 20_000, report: list[str] = REPORTING, address: list[str] = ADDRESS) -> Model:
     """Of rows (doc_id, text, toxic 0/1); rows without text or label take no part. ``report`` and ``address``: words of saying and of address."""
-    rows = K.stored(K.sampled(labelled.where("text is not null and toxic in (0, 1)"), ["doc_id", "text"], max_rows).select("text", F.col("toxic").cast("int").alias("toxic")))
+    with K.scratch():
+        return _fit(K.stored(K.sampled(labelled.where("text is not null and toxic in (0, 1)"), ["doc_id", "text"], max_rows).select("text", F.col("toxic").cast("int").alias("toxic"))), max_terms, max_clean, report, address)
+
+
+def _fit(rows: DataFrame, max_terms: int, max_clean: int, report: list[str], address: list[str]) -> Model:
     n1, n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     share = (n1 + 0.5) / (n + 1) if n else 0.0
     words, stems, clean = lexicon(rows, max_terms, max_clean)
