@@ -31,6 +31,9 @@ from repograph.llm import kernel as K
 
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 CACHE = 200_000
+#: Longer pieces are merged one by one.
+LONG = 64
+NONE = 1 << 60
 
 
 def boundaries(matcher: regex.Pattern, text: str, first: int, last: int) -> list[int]:
@@ -67,10 +70,79 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merged(piece: bytes, known: dict[bytes, int]) -> list[int]:
-    """The ids of a pre-token: of all neighbours the pair of the least rank is joined, the leftmost first, until none has a rank."""
-    if piece in known:
-        return [known[piece]]
+@lru_cache(2)
+def pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of all pairs of tokens that make a token, that token of each, and the token of each byte."""
+    known = ranks(path)
+    pairs = {}
+    for token, r in known.items():
+        for k in range(1, len(token)):
+            a, b = known.get(token[:k]), known.get(token[k:])
+            if a is not None and b is not None:
+                pairs[a << 32 | b] = r
+    keys = np.array(sorted(pairs), np.int64)
+    return keys, np.array([pairs[k] for k in keys.tolist()], np.int64), np.array([known[bytes([c])] for c in range(256)])
+
+
+def merged(pieces: list[bytes], path: str) -> list[list[int]]:
+    """The ids of pre-tokens: of all neighbours in one the pair of the least rank is joined, the leftmost first, until none has a rank.
+
+    All pieces take a step at once; one that is done leaves.
+    """
+    known, (keys, made, byte) = ranks(path), pair_table(path)
+    out: list = [[known[x]] if x in known else None for x in pieces]
+    todo = [i for i, x in enumerate(out) if x is None]
+    for i in todo:
+        if len(pieces[i]) > LONG:
+            out[i] = _merged_long(pieces[i], known)
+    own = np.array([i for i in todo if out[i] is None], np.int64)
+    if not len(own):
+        return out
+
+    def rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, made[at], NONE)
+
+    size = np.array([len(pieces[i]) for i in own])
+    token = byte[np.frombuffer(b"".join(pieces[i] for i in own), np.uint8)]
+    first = np.cumsum(size) - size
+    pair = np.full(len(token), NONE)  # of each token with the next one of its piece
+    inner = np.ones(len(token), bool)
+    inner[first + size - 1] = False
+    at = np.flatnonzero(inner)
+    pair[at] = rank(token[at], token[at + 1])
+    while len(own):
+        least = np.minimum.reduceat(pair, first)
+        done = least == NONE
+        if done.any():
+            ids = token.tolist()
+            for i, a, n in zip(own[done].tolist(), first[done].tolist(), size[done].tolist()):
+                out[i] = ids[a : a + n]
+            keep = np.repeat(~done, size)
+            token, pair, own, size, least = token[keep], pair[keep], own[~done], size[~done], least[~done]
+            first = np.cumsum(size) - size
+            if not len(own):
+                break
+        hit = np.flatnonzero(pair == np.repeat(least, size))
+        at = hit[np.searchsorted(hit, first)]  # the first one of each piece
+        token[at] = least
+        keep = np.ones(len(token), bool)
+        keep[at + 1] = False
+        # What followed the pair's second token follows the new one.
+        pair[at] = pair[at + 1]
+        token, pair = token[keep], pair[keep]
+        at -= np.arange(len(at))
+        size = size - 1
+        first = np.cumsum(size) - size
+        after, before = at[at < first + size - 1], at[at > first]
+        pair[after] = rank(token[after], token[after + 1])
+        pair[before - 1] = rank(token[before - 1], token[before])
+    return out
+
+
+def _merged_long(piece: bytes, known: dict[bytes, int]) -> list[int]:
+    """With a heap of pairs, for a time that grows little faster than the piece."""
     n = len(piece)
     end = list(range(1, n + 1))  # of the part that begins at a place
     before = list(range(-1, n - 1))
@@ -106,23 +178,26 @@ def merged(piece: bytes, known: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Ids by piece, merged when first asked for; emptied when full, so bounded."""
+    """Ids by piece; emptied when full, so bounded."""
 
-    def __init__(self, path: str):
-        self.ranks, self.room = ranks(path), CACHE
-
-    def __missing__(self, piece: str) -> list[int]:
-        if self.room <= 0:
+    def learn(self, pieces: set[str], path: str) -> None:
+        new = list(pieces - self.keys())
+        if len(self) + len(new) > CACHE:
             self.clear()
-            self.room = CACHE
-        self.room -= 1
-        self[piece] = ids = merged(piece.encode(), self.ranks)
-        return ids
+            new = list(pieces)
+        self.update(zip(new, merged([x.encode() for x in new], path)))
 
 
 @lru_cache(2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def known_pieces(path: str) -> Pieces:
+    return Pieces()
+
+
+def ids_of(texts: list[list[str]], path: str) -> list[list[int]]:
+    """The ids of each list of pieces; what isn't known yet is merged together."""
+    known = known_pieces(path)
+    known.learn(set(chain.from_iterable(texts)), path)
+    return [list(chain.from_iterable(map(known.__getitem__, own))) for own in texts]
 
 
 def _lists(rows: list[list[int]]) -> pa.Array:
@@ -136,9 +211,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK, o
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, known = regex.compile(pattern), pieces(vocabulary)
+        matcher = regex.compile(pattern)
         for t in K.slices(batches, "text"):
-            found = [list(chain.from_iterable(map(known.__getitem__, matcher.findall(t.text(i).decode())))) for i in range(len(t))]
+            found = ids_of([matcher.findall(t.text(i).decode()) for i in range(len(t))], vocabulary)
             yield pa.RecordBatch.from_arrays([t.keys.column(0), _lists(found)], names=["doc_id", "ids"])
 
     short = rows.where(F.length("text") <= chunk + overlap).mapInArrow(whole, f"doc_id {kind}, ids array<int>")
@@ -174,12 +249,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK, o
         return pa.table({"key": pa.array([t["key"][0].as_py()] * len(rows)), "k": pa.array([r[0] for r in rows], pa.int32()), "text": pa.array([r[1] for r in rows], pa.string()), "bounds": _lists([r[2] for r in rows])})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(vocabulary)
         for batch in batches:
             for i in range(batch.num_rows):
                 text, at = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                ids = list(chain.from_iterable(known[text[a:b]] for a, b in zip(at, at[1:])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), _lists([ids])], names=["key", "k", "ids"])
+                ids = ids_of([[text[a:b] for a, b in zip(at, at[1:])]], vocabulary)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), _lists(ids)], names=["key", "k", "ids"])
 
     chunks = long_.dropDuplicates(["key"]).select("key", "text").mapInArrow(cut, "key string, k int, last boolean, text string").repartition("key", "k")
     told = chunks.mapInArrow(boundaries_of, "key string, k int, last boolean, text string, starts array<int>")

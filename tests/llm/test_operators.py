@@ -295,13 +295,19 @@ def test_bpe_round_trip(spark, docs, empty, tiktoken_encoding):
     assert [bytes(x.data) for x in nothing] == [b"", b""]
 
 
-def test_merging_is_by_rank(tiktoken_encoding):
+def test_merging_is_by_rank(tiktoken_encoding, tmp_path):
     path, _ = queries.vocabulary()
-    known, r = bpe.ranks(path), random.Random(3)
-    for _ in range(1500):  # letters only, so one pre-token
-        piece = "".join(r.choice("aaeinrstlo\u00e9") for _ in range(r.choice([1, 2, 3, 7, 20, 90])))
-        assert bpe.merged(piece.encode(), known) == tiktoken_encoding.encode_ordinary(piece)
-    known = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"aba": 4, b"bab": 5, b"abab": 6}
+    r = random.Random(3)
+    # Letters only, so each is one pre-token.
+    pieces = ["".join(r.choice("aaeinrstlo\u00e9") for _ in range(r.choice([1, 2, 3, 7, 20, 64, 65, 90]))) for _ in range(1500)]
+    assert bpe.merged([x.encode() for x in pieces], path) == [tiktoken_encoding.encode_ordinary(x) for x in pieces]
+    assert bpe.merged([], path) == []
+    import base64
+
+    tokens = [bytes([c]) for c in range(256)] + [b"ab", b"ba", b"aba", b"bab", b"abab", b"aa"]
+    own = tmp_path / "ranks"
+    own.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(tokens)))
+    known = {t: k for k, t in enumerate(tokens)}
 
     def plain(piece):
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -312,10 +318,10 @@ def test_merging_is_by_rank(tiktoken_encoding):
             i = min(pairs)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    for n in range(1, 9):
-        for bits in range(2**n):
-            piece = bytes(97 + (bits >> i & 1) for i in range(n))
-            assert bpe.merged(piece, known) == (plain(piece) if piece not in known else [known[piece]])
+    every = [bytes(97 + (bits >> i & 1) for i in range(n)) for n in range(1, 10) for bits in range(2**n)]
+    want = [[known[x]] if x in known else plain(x) for x in every]
+    assert bpe.merged(every, str(own)) == want
+    assert [bpe._merged_long(x, known) for x in every] == [plain(x) for x in every]
 
 
 def test_chunks_stitch_anywhere():
