@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -98,8 +99,9 @@ class Engine:
                 every = [r["part"] for r in changes.select(store.part_of(F.col("file_path")).alias("part")).distinct().collect()]
                 fresh = self._of_files(listing.join(changes.where("change <> 'removed'").select("file_path"), "file_path", "left_semi"), held)
                 tables = {n: incremental.merge(old(n, every), fresh[n], changes) for n in BY_FILE}
-            for name in BY_FILE:
-                store.write(self.spark, self.index_dir, new, name, tables[name], ORDER.get(name, []), prior, every)
+            # Side by side, as each is a few small jobs after a change.
+            with ThreadPoolExecutor(len(BY_FILE)) as pool:
+                list(pool.map(lambda name: store.write(self.spark, self.index_dir, new, name, tables[name], ORDER.get(name, []), prior, every), BY_FILE))
             edges = self._edges(*(store.table(self.spark, self.index_dir, new, n) for n in ("specs", "files")))
             store.write(self.spark, self.index_dir, new, "edges", edges, ORDER["edges"])
             store.publish(self.spark, self.index_dir, new, prior)
