@@ -77,7 +77,8 @@ def ranked(scored: DataFrame, query: str, key: str, symbol: str | None = None, l
     """The top rows by score, ties in the order of ``key``; a matching symbol adds 2."""
     match = symbol_match(F.col(symbol), query) if symbol else F.lit(False)
     own = scored.withColumn("matched_by", F.when(match, "symbol").otherwise("lexical")).withColumn("score", F.round(F.col("score") + F.when(match, 2.0).otherwise(0.0), 6))
-    return own.where("score > 0").orderBy(F.desc("score"), key).limit(limit)
+    # Cut first: a filter below the sort would have every score computed twice.
+    return own.orderBy(F.desc("score"), key).limit(limit).where("score > 0")
 
 
 def lexical_search(chunks: DataFrame, query: str, key: str, content: str, symbol: str | None = None, limit: int = 20) -> DataFrame:
@@ -115,7 +116,7 @@ def blended(scored: DataFrame, query: str, asked: Column, key: str, embedding: s
     match = symbol_match(F.col(symbol), query, exact=False) if symbol else F.lit(False)
     kind = F.when(match, "symbol").when(F.col("cos") >= F.col("lex"), "semantic").otherwise("lexical")
     score = F.round(0.7 * F.col("cos") + 0.3 * F.col("lex") + F.when(match, 2.0).otherwise(0.0), 6)
-    return own.withColumn("matched_by", kind).withColumn("score", score).where(F.col("score") > least).orderBy(F.desc("score"), key).limit(limit)
+    return own.withColumn("matched_by", kind).withColumn("score", score).orderBy(F.desc("score"), key).limit(limit).where(F.col("score") > least)
 
 
 def indexed_hybrid_search(chunks: DataFrame, stored: DataFrame, query: str, vector: list[float], key: str, embedding: str, symbol: str | None = None, limit: int = 20, least: float = 0.05) -> DataFrame:
