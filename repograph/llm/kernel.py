@@ -354,6 +354,29 @@ def kept(paths: list[str], df: DataFrame) -> DataFrame:
     return out
 
 
+#: A bitmap of :func:`held` has at most so many bits (4 MB), in rows of ``_MAP`` bits.
+MOST_BITS, _MAP = 1 << 25, 1 << 15
+
+
+def held(df: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose doc_id may be among the stored ``ids`` (one column), or those whose doc_id surely isn't.
+
+    By a bitmap of hashes, with 32 bits or more for each id up to ``MOST_BITS``; it is broadcast, so no text is shuffled for rows that a join would
+    drop or leave alone anyway. Beyond, and for about one row in 32, rows may be told to be inside that are not: the join itself decides.
+    """
+    from pyspark.sql import functions as F
+
+    bits = min(MOST_BITS, max(_MAP, 1 << (32 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    rows = ids.select(place(ids.columns[0]).alias("at")).distinct().select("at", F.floor(F.col("at") / _MAP).alias("part"))
+    # Dealt out first: partial bitmaps of all tasks would be larger than the places.
+    maps = rows.repartition("part").groupBy("part").agg(F.bitmap_construct_agg(F.col("at") % _MAP).alias("map"))
+    at = place(df["doc_id"])
+    byte = F.conv(F.hex(F.substring(maps["map"], (at % _MAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    both = (F.floor(at / _MAP) == maps["part"]) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return df.join(F.broadcast(maps), both, "left_semi" if inside else "left_anti")
+
+
 def total_bytes(df: DataFrame, column: str) -> int:
     from pyspark.sql import functions as F
 

@@ -330,9 +330,10 @@ def _components(docs: DataFrame) -> DataFrame:
     sigs = K.stored(signatures(docs))
     usable = sigs.where("n > 0 and doc_id is not null")
     classes = K.stored(usable.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "left", "right", "sig")).alias("r")).select("n", "f1", "f2", "r.*"))
-    lefts = classes.select("doc_id", "right", F.posexplode("left").alias("i", "l"))
+    lefts = classes.select("doc_id", F.posexplode("left").alias("i", "l"))
     busy = K.stored(lefts.groupBy("i", "l").agg(F.count("*").alias("c")).where("c > 1").select("i", "l"))
-    spread = lefts.join(busy, ["i", "l"], "left_semi").select("doc_id", "i", "l", F.posexplode("right").alias("j", "r"))
+    # The right half keys come after, so that they aren't shuffled with each left one.
+    spread = lefts.join(busy, ["i", "l"], "left_semi").join(classes.select("doc_id", "right"), "doc_id").select("doc_id", "i", "l", F.posexplode("right").alias("j", "r"))
     table = K.stored(spread.select(F.xxhash64("i", "l", "j", "r").alias("key"), F.col("doc_id").alias("id")))
     first = K.stored(table.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1"))
     shared = K.stored(table.join(first, "key").select("key", "id", "b", "c"))
@@ -340,8 +341,9 @@ def _components(docs: DataFrame) -> DataFrame:
     sized = classes.select("doc_id", "n", "sig")
     # The likeliest link of each document first; what it leaves apart is compared within the buckets below.
     pairs = K.stored(_alike(stars, sized).groupBy("a").agg(F.min(F.struct(-F.col("same"), "b")).alias("e")).select("a", "e.b"))
-    wanted = shared.select(F.col("id").alias("doc_id")).distinct()
-    texts = K.stored(packed(docs.where("text is not null").join(wanted, "doc_id", "left_semi")))
+    wanted = K.stored(shared.select("id").distinct())
+    # Dealt out, packed: copies may lie side by side in the input, and later steps open what a part holds.
+    texts = K.stored(packed(K.held(docs.where("text is not null"), wanted)).repartition("id").join(wanted, "id", "left_semi"))
     links = K.stored(verified(pairs, texts))
     comps = rooted(links)
     # Buckets with several components are left.

@@ -554,6 +554,48 @@ def test_pii_spans_do_not_depend_on_the_place():
     assert sum(want in {t[a:b] for _, a, b in own} for t, own in zip(texts, alone)) >= 0.9 * len(texts)
 
 
+def shuffled(spark):
+    """Bytes that the session has written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_near_dedup_shuffles_no_texts_that_stay(spark):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    words = lambda n: " ".join(f"{r.getrandbits(48):x}" for _ in range(n))
+    rows = [(k, words(700)) for k in range(200)]
+    rows += [(1000 + k, rows[k][1] + " more") for k in range(5)] + [(None, rows[0][1]), (3, rows[3][1] + " other")]
+    path = f"{kernel.shared_dir(spark)}/few-copies"
+    spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("__id"), F.lit(2).alias("part"), F.lit(3).alias("map"), F.lit(4).alias("a.b")).write.parquet(path)
+    docs, threshold, before = spark.read.parquet(path), spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_dedup(spark, docs, "")
+        assert out.columns == docs.columns
+        got = [(x.doc_id, x.text) for x in out.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(got, key=str) == sorted((x for x in rows if x[0] is None or x[0] < 1000), key=str)
+    # Once the texts of all rows went through two shuffles.
+    assert shuffled(spark) - before < 0.5 * sum(len(x) for _, x in rows)
+
+
+def test_held_by_a_bitmap(spark, monkeypatch):
+    df = spark.createDataFrame([(str(k) if k % 50 else None, k) for k in range(20_000)], "doc_id string, k int")
+    for bits, step in ((1 << 25, 40), (1 << 15, 3), (1 << 25, 10**9)):
+        monkeypatch.setattr(kernel, "MOST_BITS", bits)
+        ids = kernel.stored(spark.createDataFrame([(str(k),) for k in range(1, 20_000, step)] + [("none",), (None,)], "id string"))
+        inside, outside = ({x.k for x in kernel.held(df, ids, side).collect()} for side in (True, False))
+        own = {k for k in range(1, 20_000, step) if k % 50}
+        assert own <= inside and not inside & outside and inside | outside == set(range(20_000))
+        assert bits < 1 << 25 or len(inside) < len(own) + 20_000 / 50 + 1500
+    none = kernel.stored(ids.where("false"))
+    assert kernel.held(df, none).count() == 0 and kernel.held(df, none, False).count() == 20_000
+
+
 NAMES = ["score", "lang_pred", "runs", "__mark", "row", "n_hit", "n_words", "items", "__id", "comp", "key", "ids", "a.b", "_"]
 
 
