@@ -186,30 +186,30 @@ class Tagger:
         return float((total - gold).sum() * scale), g
 
     def emissions(self, chars: np.ndarray) -> np.ndarray:
-        """As :meth:`scores`, for many windows, but tags x steps x windows: each class' share of the gates is looked up, and what is worked on lies in long rows."""
-        n = self.h
+        """As :meth:`scores`, for many windows, but tags x steps x windows: state, character and bias meet in one product, and what is worked on lies in long rows."""
+        n, size = self.h, self.p["e"].shape[1]
         b, steps = chars.shape
         out = np.repeat(self.p["ob"][:, None], steps * b, 1).reshape(TAGS, steps, b)
         a, v, c, u = (np.empty((k * n, b), np.float32) for k in (4, 4, 1, 1))
+        # What the gates are made of: twice the state, the character, one for the bias. Halves are left to the weights, exactly.
+        z = np.ones((n + size + 1, b), np.float32)
+        h, x, letters = z[:n], z[n : n + size], np.ascontiguousarray(self.p["e"].T)
         column = np.ascontiguousarray(chars.T).astype(np.intp)
         for d, o in (("f", self.p["o"][:n]), ("b", self.p["o"][n:])):
             w = self.p["w" + d]
-            known = np.ascontiguousarray((self.p["e"] @ w[:-n] + self.p["b" + d]).T)
-            back, own = np.ascontiguousarray(w[-n:].T), np.ascontiguousarray(o.T)
-            h = np.zeros((n, b), np.float32)
-            c[:] = 0
+            gates, own = np.ascontiguousarray(np.concatenate([w[-n:] / 2, w[:-n], self.p["b" + d][None]]).T), np.ascontiguousarray(o.T / 2)
+            h[:], c[:] = 0, 0
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                np.take(known, column[t], 1, out=a, mode="clip")
-                a += back @ h
+                np.take(letters, column[t], 1, out=x, mode="clip")
+                np.matmul(gates, z, out=a)
                 np.abs(a, out=v)
                 v += 1
                 a /= v
-                gate = a[: 3 * n]
-                gate *= 0.5
-                gate += 0.5
+                a[: 3 * n] += 1
                 c *= a[n : 2 * n]
                 np.multiply(a[:n], a[3 * n :], out=u)
                 c += u
+                c *= 0.5
                 np.abs(c, out=u)
                 u += 1
                 np.divide(c, u, out=u)
@@ -224,14 +224,20 @@ class Tagger:
         out = np.zeros(s.shape[1], bool)
         edge = bounds[1:-1][bounds[1:-1] < s.shape[1]]
         for b, i in zip(begin, inside):
-            step = s[i].astype(np.float64) - s[0] + t[i, i] - t[0, 0]
-            step[edge] -= 1e6
-            total = np.cumsum(step)
-            start = s[b] - s[0] + t[0, b] - t[0, 0] + t[b, i] - t[i, i] - total
-            end = total + t[i, 0] - t[0, 0]
+            total, start = np.subtract(s[i], s[0], dtype=np.float64), np.subtract(s[b], s[0], dtype=np.float64)
             # A span of one character has no inside; its own score is looked at beside.
-            one = s[b] - s[0] + t[0, b] - t[0, 0] + t[b, 0] - t[0, 0]
-            out |= (np.maximum.accumulate(start) + np.maximum.accumulate(end[::-1])[::-1] > 0) | (one > 0)
+            out |= start > t[0, 0] - t[0, b] + t[0, 0] - t[b, 0]
+            total += t[i, i] - t[0, 0]
+            total[edge] -= 1e6
+            np.cumsum(total, out=total)
+            start -= total
+            start += t[0, b] - t[0, 0] + t[b, i] - t[i, i]
+            np.maximum.accumulate(start, out=start)
+            end = total[::-1]
+            np.maximum.accumulate(end, out=end)
+            total += t[i, 0] - t[0, 0]
+            start += total
+            out |= start > 0
         return out
 
     def decode(self, s: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:

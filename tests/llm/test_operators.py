@@ -515,6 +515,18 @@ def test_emissions_and_hope():
         assert (m.hopeful(s, bounds) | (best == 0)).all()
 
 
+def test_emissions_look_up_characters_only(monkeypatch):
+    """Of each character its embedding is gathered once for each direction, not all gates; scores are the plain ones, in long runs of one class too."""
+    m, gathered, take = pii.trained(), [], np.take
+    chars = np.random.default_rng(2).integers(0, pii.CLASSES, (33, pii.WINDOW)).astype(np.uint8)
+    chars[:3] = np.array([[0], [28], [pii.CLASSES - 1]])
+    monkeypatch.setattr(pii.np, "take", lambda a, *rest, **more: (gathered.append(np.size(x := take(a, *rest, **more))), x)[1])
+    got = m.emissions(chars)
+    monkeypatch.undo()
+    assert np.allclose(got.transpose(2, 1, 0), m.scores(chars), atol=1e-4)
+    assert sum(gathered) <= 2 * chars.size * m.p["e"].shape[1]
+
+
 # Sentences that no template makes: (text, kind, what is to be found).
 SENTENCES = [
     ("Kontakt: jana.krause at posteo dot de, danke!", "email", "jana.krause at posteo dot de"), ("You can reach me under m.weber (at) firma-nord (dot) org any time.", "email", "m.weber (at) firma-nord (dot) org"),
