@@ -6,7 +6,8 @@ overlap, all later pre-tokens agree (a match depends on nothing before its
 start), so the seam is stitched there. A seam without a common boundary, as
 within a very long word, is mended by pre-tokenising on from the last sure boundary. The
 stitched chunks are dealt out again and their pieces are merged by rank. A text of one chunk has no
-seams and stays where it is. Decoding concatenates the tokens' bytes.
+seams and stays where it is. Pieces are found, told apart and merged as arrays, a slice of texts at a time; only
+another pattern than BY_KIND goes through ``regex``. Decoding concatenates the tokens' bytes.
 
 Defined results: null is encoded as the empty text, to no ids; a null list of ids
 decodes to no bytes; ids out of range raise ValueError; each row is encoded by itself, whatever its id is; an empty table gives no rows.
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 from repograph.llm import kernel as K
 
 CHUNK, OVERLAP = 1 << 15, 1 << 9
-CACHE = 200_000
 #: Longer pieces are merged one by one.
 LONG = 64
+#: A table of pieces has at most so many places, so that it stays in the processor's cache.
+BLOCK = 1 << 16
 NONE = 1 << 60
 
 
@@ -41,7 +43,7 @@ def boundaries(matcher: regex.Pattern, text: str, first: int, last: int) -> list
 
     The last two matches may depend on what follows the cut, so they are left out, but at the end of the text.
     """
-    starts = [m.start() for m in matcher.finditer(text, first, last)]
+    starts = [first + x for x in starts_of(matcher, text[first:last])]
     return [*starts, last] if last == len(text) else starts[:-2]
 
 
@@ -71,8 +73,8 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of all pairs of tokens that make a token, that token of each, and the token of each byte."""
+def pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Open addressing: the slots' keys (two tokens that make a token) and that token of each; the token of each byte; what each two bytes make."""
     known = ranks(path)
     pairs = {}
     for token, r in known.items():
@@ -80,65 +82,111 @@ def pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             a, b = known.get(token[:k]), known.get(token[k:])
             if a is not None and b is not None:
                 pairs[a << 32 | b] = r
-    keys = np.array(sorted(pairs), np.int64)
-    return keys, np.array([pairs[k] for k in keys.tolist()], np.int64), np.array([known[bytes([c])] for c in range(256)])
+    slots = 1 << (2 * len(pairs) + 1).bit_length()
+    keys, made = np.full(slots, -2), np.full(slots, NONE)
+    key, value = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+    at = _slot(key, slots)
+    while len(key):
+        free = keys[at] == -2
+        keys[at[free]] = key[free]  # the last one stays of those that ask for one slot
+        own = keys[at] == key
+        made[at[own]] = value[own]
+        key, value, at = key[~own], value[~own], at[~own] + 1 & slots - 1
+    byte = np.array([known[bytes([c])] for c in range(256)])
+    return keys, made, byte, _rank(np.repeat(byte, 256), np.tile(byte, 256), keys, made)
+
+
+def _slot(key: np.ndarray, slots: int) -> np.ndarray:
+    return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - slots.bit_length())).view(np.int64)
+
+
+def _rank(left: np.ndarray, right: np.ndarray, keys: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """The token that two tokens make, or NONE; -1 is no token."""
+    key = left << 32 | right
+    at = _slot(key, len(keys))
+    held = keys[at]
+    out = np.where(held == key, made[at], NONE)
+    more = np.flatnonzero((held != key) & (held != -2))
+    while len(more):
+        at[more] = at[more] + 1 & len(keys) - 1
+        held = keys[at[more]]
+        same = held == key[more]
+        out[more[same]] = made[at[more[same]]]
+        more = more[~same & (held != -2)]
+    return out
 
 
 def merged(pieces: list[bytes], path: str) -> list[list[int]]:
-    """The ids of pre-tokens: of all neighbours in one the pair of the least rank is joined, the leftmost first, until none has a rank.
-
-    All pieces take a step at once; one that is done leaves.
-    """
-    known, (keys, made, byte) = ranks(path), pair_table(path)
-    out: list = [[known[x]] if x in known else None for x in pieces]
-    todo = [i for i, x in enumerate(out) if x is None]
-    for i in todo:
-        if len(pieces[i]) > LONG:
-            out[i] = _merged_long(pieces[i], known)
-    own = np.array([i for i in todo if out[i] is None], np.int64)
-    if not len(own):
-        return out
-
-    def rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where(keys[at] == key, made[at], NONE)
-
-    size = np.array([len(pieces[i]) for i in own])
-    token = byte[np.frombuffer(b"".join(pieces[i] for i in own), np.uint8)]
-    first = np.cumsum(size) - size
-    pair = np.full(len(token), NONE)  # of each token with the next one of its piece
-    inner = np.ones(len(token), bool)
-    inner[first + size - 1] = False
-    at = np.flatnonzero(inner)
-    pair[at] = rank(token[at], token[at + 1])
-    while len(own):
-        least = np.minimum.reduceat(pair, first)
-        done = least == NONE
-        if done.any():
-            ids = token.tolist()
-            for i, a, n in zip(own[done].tolist(), first[done].tolist(), size[done].tolist()):
-                out[i] = ids[a : a + n]
-            keep = np.repeat(~done, size)
-            token, pair, own, size, least = token[keep], pair[keep], own[~done], size[~done], least[~done]
-            first = np.cumsum(size) - size
-            if not len(own):
-                break
-        hit = np.flatnonzero(pair == np.repeat(least, size))
-        at = hit[np.searchsorted(hit, first)]  # the first one of each piece
-        token[at] = least
-        keep = np.ones(len(token), bool)
-        keep[at + 1] = False
-        # What followed the pair's second token follows the new one.
-        pair[at] = pair[at + 1]
-        token, pair = token[keep], pair[keep]
-        at -= np.arange(len(at))
-        size = size - 1
-        first = np.cumsum(size) - size
-        after, before = at[at < first + size - 1], at[at > first]
-        pair[after] = rank(token[after], token[after + 1])
-        pair[before - 1] = rank(token[before - 1], token[before])
-    return out
+    """The ids of pre-tokens: of all neighbours in one the pair of the least rank is joined, the leftmost first, until none has a rank."""
+    at = np.concatenate([[0], np.cumsum([len(x) for x in pieces], dtype=np.int64)])
+    ids, n = _merged(b"".join(pieces), at[:-1], at[1:], path)
+    ids, ends = ids.tolist(), np.cumsum(n).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _merged(data: bytes, first: np.ndarray, last: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of pieces of the bytes, one after another, and how many each has. Pieces of about one length take a step at once."""
+    known, size = ranks(path), last - first
+    pieces = [data[a:b] for a, b in zip(first.tolist(), last.tolist())]
+    whole = np.fromiter((known.get(x, -1) for x in pieces), np.int64, len(pieces))
+    raw = np.frombuffer(data, np.uint8)
+    own = np.flatnonzero(whole >= 0)
+    found, least = [(own, whole[own], np.ones(len(own), np.int64))], 0
+    for most in (8, 16, 32, LONG):
+        some = np.flatnonzero((whole < 0) & (size > least) & (size <= most))
+        for k in range(0, len(some), BLOCK // most):
+            own = some[k : k + BLOCK // most]
+            found.append((own, *_merged_columns(raw, first[own], size[own], most, path)))
+        least = most
+    longer: dict[bytes, list[int]] = {}
+    for i in np.flatnonzero((whole < 0) & (size > LONG)).tolist():
+        if pieces[i] not in longer:
+            longer[pieces[i]] = _merged_long(pieces[i], known)
+        ids = longer[pieces[i]]
+        found.append((np.array([i]), np.array(ids), np.array([len(ids)])))
+    n = np.zeros(len(pieces), np.int64)
+    for own, _, count in found:
+        n[own] = count
+    begin, out = np.cumsum(n) - n, np.empty(n.sum(), np.int32)
+    for own, ids, count in found:
+        out[np.repeat(begin[own], count) + K.within(count)] = ids
+    return out, n
+
+
+def _merged_columns(raw: np.ndarray, first: np.ndarray, size: np.ndarray, rows: int, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The like of pieces of 1 to ``rows`` bytes, each in a column of a table."""
+    keys, made, byte, two = pair_table(path)
+    m = len(size)
+    column, place = np.repeat(np.arange(m), size), K.within(size)
+    raw = raw[first[column] + place].astype(np.int64)
+    # Row 0 and what follows a piece's end hold no token. Flat places are row * m + column.
+    flat = (place + 1) * m + column
+    token = np.full((rows + 2) * m, -1)
+    token[flat] = byte[raw]
+    order = np.full((rows + 2) * m, NONE)  # of each token with the next one: rank and row
+    inner = np.flatnonzero(place[1:] > 0)
+    rank = two[raw[inner] << 8 | raw[inner + 1]]
+    order[flat[inner]] = np.where(rank < NONE, rank << 7 | place[inner] + 1, NONE)
+    after, before = np.arange(len(token)) + m, np.arange(len(token)) - m
+    table = order.reshape(rows + 2, m)
+    while True:
+        least = table[1:-1].min(0)
+        live = np.flatnonzero(least < NONE)
+        if not len(live):
+            break
+        least = least[live]
+        row, rank = least & 127, least >> 7
+        at = row * m + live
+        gone = after[at]
+        then, ahead = after[gone], before[at]
+        token[at], token[gone], order[gone] = rank, -1, NONE
+        after[at], before[then] = then, at
+        left = np.concatenate([token[ahead], rank])
+        new = _rank(left, np.concatenate([rank, token[then]]), keys, made)
+        order[np.concatenate([ahead, at])] = np.where(new < NONE, new << 7 | np.concatenate([ahead // m, row]), NONE)
+    token = token.reshape(rows + 2, m).T
+    left = token >= 0
+    return token[left], left.sum(1)
 
 
 def _merged_long(piece: bytes, known: dict[bytes, int]) -> list[int]:
@@ -177,32 +225,134 @@ def _merged_long(piece: bytes, known: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Pieces(dict):
-    """Ids by piece; emptied when full, so bounded."""
-
-    def learn(self, pieces: set[str], path: str) -> None:
-        new = list(pieces - self.keys())
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(pieces)
-        self.update(zip(new, merged([x.encode() for x in new], path)))
+#: The first bytes of eight, by how many.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _classes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One piece of each kind, and for each piece the place of its like among these. Pieces of more than LONG bytes are all told apart."""
+    first, size = at[:-1], np.diff(at)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    words = [(np.arange(len(size)), eight[first] & _MASK[np.minimum(size, 8)])]
+    digest = K.mix(words[0][1] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for k in range(8, LONG, 8):
+        some = words[-1][0]
+        some = some[size[some] > k]
+        if not len(some):
+            break
+        words.append((some, eight[first[some] + k] & _MASK[np.minimum(size[some] - k, 8)]))
+        digest[some] = K.mix(digest[some] * np.uint64(0x9E3779B97F4A7C15) + words[-1][1])
+    order = np.argsort(digest)
+    new = np.ones(len(order), bool)
+    new[1:] = digest[order[1:]] != digest[order[:-1]]
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    one = order[new]
+    # Digests only propose: lengths and bytes are compared.
+    like = one[kind]
+    other = (size != size[like]) | (size > LONG)
+    for some, word in words:
+        full = np.zeros(len(size), np.uint64)
+        full[some] = word
+        other |= full != full[like]
+    other[one] = False
+    alone = np.flatnonzero(other)
+    kind[alone] = len(one) + np.arange(len(alone))
+    return np.concatenate([one, alone]), kind
+
+
+def ids_of(raw: np.ndarray, at: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the pieces that the bytes fall into at ``at``, one after another, and where each piece's begin and the last one's end."""
+    if len(at) < 2:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    one, kind = _classes(raw, at)
+    ids, n = _merged(raw.tobytes(), at[one], at[one + 1], path)
+    begin, n = (np.cumsum(n) - n)[kind], n[kind]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return ids[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
+#: The pattern whose matches are found by kinds of characters, all at once: letters, numbers, blanks, and the others.
+BY_KIND = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters that Unicode has since 17.0 and ``regex`` may know already; tiktoken goes by 16.0, where they are neither letters nor numbers.
+NEWER = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb "
+    "11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 "
+    "191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 "
+    "1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f "
+)
+
+
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """Of each code point: 0 for blanks, 1 for letters, 2 for numbers, 3 for others, as tiktoken tells them."""
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    out = np.full(len(every), 3, np.uint8)
+    for k, name in enumerate((r"\s+", r"\p{L}+", r"\p{N}+")):
+        for m in regex.finditer(name, every):
+            out[m.start() : m.end()] = k
+    for part in NEWER.split():
+        first, _, last = part.partition("-")
+        out[int(first, 16) : int(last or first, 16) + 1] = 3
+    return out
 
 
-@lru_cache(2)
-def known_pieces(path: str) -> Pieces:
-    return Pieces()
+def begins(point: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where matches of BY_KIND begin in rows of code points."""
+    n = len(point)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = kinds()[point]
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    blank = kind == 0
+    out = edge[:n].copy()
+    out[1:] |= kind[1:] != kind[:-1]
+    # A run takes the space before it along; other blanks before it stay together, but the last one.
+    inside = ~blank[1:] & ~edge[1:n]
+    out[1:] &= ~(inside & (point[:-1] == 32))
+    out[:-1] |= blank[:-1] & inside
+    # Where an apostrophe begins a match, the end of a contraction goes with it.
+    at = np.flatnonzero(out & (point == 39))
+    if len(at):
+        padded = np.concatenate([point, np.zeros(2, point.dtype)])
+        left = bounds[np.searchsorted(bounds, at, "right")] - at
+        a, b = padded[at + 1], padded[at + 2]
+        short = (left > 1) & np.isin(a, [ord(c) for c in "stmd"])
+        long_ = (left > 2) & (((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l")))
+        out[at[short | long_] + 1] = False
+        ends = np.concatenate([at[short] + 2, at[long_] + 3])
+        out[ends[ends < n]] = True
+    return np.flatnonzero(out)
+
+
+def pieces_of(matcher: regex.Pattern, t: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the texts' matches one after another, where these begin and the last one ends, and the rows' bounds among them."""
+    if matcher.pattern == BY_KIND:
+        lead = (t.raw & 0xC0) != 0x80
+        count = np.concatenate([[0], np.cumsum(lead)])
+        point = np.frombuffer(t.raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        at = np.append(np.flatnonzero(lead)[begins(point, count[t.bounds])], len(t.raw))
+        return t.raw, at, np.searchsorted(at, t.bounds)
+    found = [[x.encode() for x in matcher.findall(t.text(i).decode()) if x] for i in range(len(t))]
+    size = [len(x) for own in found for x in own]
+    raw = np.frombuffer(b"".join(chain.from_iterable(found)), np.uint8)
+    return raw, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+
+
+def starts_of(matcher: regex.Pattern, text: str) -> list[int]:
+    if matcher.pattern == BY_KIND:
+        return begins(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([0, len(text)])).tolist()
+    return [m.start() for m in matcher.finditer(text)]
 
 
-def ids_of(texts: list[list[str]], path: str) -> list[list[int]]:
-    """The ids of each list of pieces; what isn't known yet is merged together."""
-    known = known_pieces(path)
-    known.learn(set(chain.from_iterable(texts)), path)
-    return [list(chain.from_iterable(map(known.__getitem__, own))) for own in texts]
+def _lists(rows: list[list[int]]) -> pa.Array:
+    return _listed(np.fromiter(chain.from_iterable(rows), np.int32), np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)]))
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, ends[-1])))
+def _listed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -213,8 +363,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK, o
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = regex.compile(pattern)
         for t in K.slices(batches, "text"):
-            found = ids_of([matcher.findall(t.text(i).decode()) for i in range(len(t))], vocabulary)
-            yield pa.RecordBatch.from_arrays([t.keys.column(0), _lists(found)], names=["doc_id", "ids"])
+            raw, at, rows = pieces_of(matcher, t)
+            ids, ends = ids_of(raw, at, vocabulary)
+            yield pa.RecordBatch.from_arrays([t.keys.column(0), _listed(ids, ends[rows])], names=["doc_id", "ids"])
 
     short = rows.where(F.length("text") <= chunk + overlap).mapInArrow(whole, f"doc_id {kind}, ids array<int>")
     # A text's ids depend on nothing else, so chunks go by its digest: equal texts are encoded once.
@@ -233,7 +384,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK, o
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(3)[i].as_py()
-                starts = [m.start() for m in matcher.finditer(text)]
+                starts = starts_of(matcher, text)
                 # Without the last two matches, which may depend on what follows, but at the end of the text.
                 own = [*starts, len(text)] if batch.column(2)[i].as_py() else starts[:-2]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(4)), _lists([own])], names=["key", "k", "last", "text", "starts"])
@@ -249,11 +400,16 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK, o
         return pa.table({"key": pa.array([t["key"][0].as_py()] * len(rows)), "k": pa.array([r[0] for r in rows], pa.int32()), "text": pa.array([r[1] for r in rows], pa.string()), "bounds": _lists([r[2] for r in rows])})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                text, at = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                ids = ids_of([[text[a:b] for a, b in zip(at, at[1:])]], vocabulary)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), _lists(ids)], names=["key", "k", "ids"])
+        for t in K.slices(batches, "text"):
+            lists = t.keys.column(2)
+            n, lead = np.asarray(lists.value_lengths(), np.int64), (t.raw & 0xC0) != 0x80
+            base = np.concatenate([[0], np.cumsum(lead)])[t.bounds[:-1]]
+            at = np.append(np.flatnonzero(lead), len(t.raw))[np.asarray(lists.flatten(), np.int64) + np.repeat(base, n)]
+            # Where a row ends, the next one begins.
+            at = at[np.append(K.within(n)[1:] > 0, True)]
+            ids, ends = ids_of(t.raw, at, vocabulary)
+            rows = np.concatenate([[0], np.cumsum(n - 1)])
+            yield pa.RecordBatch.from_arrays([t.keys.column(0), t.keys.column(1), _listed(ids, ends[rows])], names=["key", "k", "ids"])
 
     chunks = long_.dropDuplicates(["key"]).select("key", "text").mapInArrow(cut, "key string, k int, last boolean, text string").repartition("key", "k")
     told = chunks.mapInArrow(boundaries_of, "key string, k int, last boolean, text string, starts array<int>")

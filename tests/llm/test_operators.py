@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +337,41 @@ def test_chunks_stitch_anywhere():
         assert [s[a:b] for a, b in zip(line, line[1:])] == m.findall(s)
 
 
+def test_pre_tokens_all_at_once(tiktoken_encoding):
+    """Of all characters, as tiktoken tells letters, numbers and blanks; of odd rows side by side, as it encodes each."""
+    import regex
+    import tiktoken
+
+    path, pattern = queries.vocabulary()
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    kind = np.full(0x110000, 3)
+    for k, p in enumerate((r"\s", r"\p{L}", r"\p{N}")):
+        told = tiktoken.Encoding("own", pat_str=p, mergeable_ranks={bytes([c]): c for c in range(256)}, special_tokens={})
+        kind[[ord(c) for c in bytes(told.encode_ordinary(every)).decode()]] = k
+    kind[0xD800:0xE000] = bpe.kinds()[0xD800:0xE000]
+    assert (bpe.kinds() == kind).all()
+    r = random.Random(6)
+    odd = ["'", "'", "'s", "'re", "'l", "'ll", "'ve", "'d", "re", "T", " ", "  ", "\n", "\x85", "\u3000", "\xb2", "1", "!", "\u0301", "\x00", "\U0001f600", "\U0003e374", "\u0558", "-" * 70, "xy" * 33]
+    texts = [None, "", *("".join(r.choice(odd) for _ in range(r.randint(0, 12))) for _ in range(4000)), "".join(map(chr, range(0x400))), "".join(map(chr, range(0x400, 0x800)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    for matcher in (regex.compile(pattern), regex.compile(pattern + "|x")):
+        for t in kernel.slices(iter([batch]), "text"):
+            raw, at, rows = bpe.pieces_of(matcher, t)
+            ids, ends = bpe.ids_of(raw, at, path)
+            for i, (a, b) in enumerate(zip(ends[rows], ends[rows[1:]])):
+                s = t.text(i).decode()
+                if matcher.pattern == pattern or not {"\U0003e374", "\u0558"} & set(s) and s.isascii():
+                    assert ids[a:b].tolist() == tiktoken_encoding.encode_ordinary(s)
+
+
+def test_equal_digests_are_told_apart(tiktoken_encoding, monkeypatch):
+    path, _ = queries.vocabulary()
+    monkeypatch.setattr(kernel, "mix", lambda x: x % np.uint64(3))
+    pieces = [x.encode() for x in ("ab", "ab\x00", "abc", "ab", "abcdefgh", "abcdefghi", "abcdefghj", "abcdefghi", "z" * 70, "z" * 70)]
+    ids, ends = bpe.ids_of(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)]), path)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == bpe.merged(pieces, path)
+
+
 def plain_search(vectors, queries, k):
     """{(query id, rank, vector id, score)} of {(id, components)}: a pair of ids has its best score."""
     score = {}
